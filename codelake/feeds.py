@@ -194,3 +194,76 @@ def corpus(part: DataFrame) -> DataFrame:
         F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit("."), ending)
         .alias("file_path"),
         content.alias("content"))
+
+
+def projects(part: DataFrame) -> DataFrame:
+    """Three versions of each project of the corpus; the newest has the highest commit."""
+    ids = part.select(F.floor(F.col("p_partkey") / 30).alias("n")).distinct()
+    day = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    rows = ids.select("n", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("v"))
+    at = F.timestamp_seconds(F.unix_timestamp(day) + F.col("v") * 3600)
+    text = F.lit(None).cast("string")
+    return rows.select(
+        F.concat(F.lit("proj-"), F.col("n").cast("string")).alias("project_id"),
+        F.concat(F.lit("name-"), F.col("n").cast("string")).alias("project_name"),
+        F.lit("/src").alias("root_path"), text.alias("description"), text.alias("version"),
+        text.alias("git_remote"), F.lit("main").alias("git_branch"),
+        F.concat(F.lit("c"), F.col("v").cast("string")).alias("git_commit"),
+        at.alias("created_at"), at.alias("updated_at"), F.lit("{}").alias("metadata"))
+
+
+def document_files(documents: DataFrame) -> DataFrame:
+    """Files with documentation-like paths; some get a heading line."""
+    i = F.col("doc_id").cast("string")
+    turn = F.col("doc_id") % 10
+    names = ["README_%.md", "CHANGELOG-%.md", "docs/%.rst", "api-%.md", "user-guide_%.txt",
+             "CONTRIBUTING-%.md", "LICENSE-%", "docs/deep/note_%.html", "src/tool_%.py",
+             "notes/%.markdown"]
+    name = F.lit(None).cast("string")
+    for n, pattern in enumerate(names):
+        before, after = pattern.split("%")
+        name = F.when(turn == n, F.concat(F.lit(before), i, F.lit(after))).otherwise(name)
+    head = (F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("# Heading "), i, F.lit("\n")))
+            .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Title "), i, F.lit("\n=======\n")))
+            .otherwise(""))
+    return documents.select(F.col("source").alias("project_id"),
+                            F.concat_ws("/", "source", "lang", name).alias("file_path"),
+                            F.concat(head, "text").alias("content"), "doc_id")
+
+
+def changed_files(files: DataFrame) -> DataFrame:
+    """A later state: every tenth text altered, every seventh file gone, some new ones."""
+    i = F.col("doc_id")
+    kept = files.where(i % 7 != 3).withColumn("content", F.when(
+        i % 10 == 0, F.concat("content", F.lit("\nedited"))).otherwise(F.col("content")))
+    added = files.where(i % 50 == 1).withColumn(
+        "file_path", F.concat("file_path", F.lit(".new.md")))
+    return kept.unionByName(added)
+
+
+def messages(conversations: DataFrame) -> DataFrame:
+    """Conversation turns as session messages; tokens are words."""
+    return conversations.select(
+        F.col("conv_id").cast("string").alias("session_id"),
+        (F.col("conv_id") % 5).cast("string").alias("project_id"), "role",
+        F.col("text").alias("content"),
+        F.regexp_count("text", F.lit(r"(?U)\S+")).cast("bigint").alias("token_count"),
+        F.col("turn").cast("bigint").alias("turn"))
+
+
+def todos(orders: DataFrame) -> DataFrame:
+    """Orders as todo rows."""
+    text, time = F.lit(None).cast("string"), F.lit(None).cast("timestamp_ntz")
+    done = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
+    return orders.select(
+        F.col("o_orderkey").cast("string").alias("todo_id"),
+        (F.col("o_custkey") % 10).cast("string").alias("project_id"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"),
+        text.alias("description"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("priority"), text.alias("file_path"),
+        F.lit(None).cast("int").alias("line_number"),
+        F.concat(F.lit("user-"), (F.col("o_custkey") % 7).cast("string")).alias("assigned_to"),
+        F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"),
+        done.alias("completed_at"), time.alias("due_date"),
+        F.filter(F.split(F.lower("o_orderpriority"), "[^a-z]+"), lambda w: w != "").alias("tags"),
+        F.lit("{}").alias("metadata"))
