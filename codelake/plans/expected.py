@@ -549,7 +549,7 @@ def _documents() -> dict[str, str]:
             CAST(sum(word_count) AS BIGINT) AS total_words FROM docs""",
         "d2_select_documents": base + " SELECT file_path FROM docs",
         "d3_list_documents": base + """ SELECT file_path, doc_type, title, format, word_count
-            FROM docs WHERE project_id = 'src3' AND doc_type = 'readme'""",
+            FROM docs WHERE project_id = 'src3' AND doc_type = 'api'""",
         "d4_get_documents": base + """ SELECT file_path, title, content FROM docs
             WHERE project_id = 'src4' AND doc_id % 3 = 0""",
         "d5_search_documents": base + """ SELECT * FROM (SELECT file_path, title, word_count,

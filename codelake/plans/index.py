@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -26,23 +26,43 @@ class Extraction:
     """
 
     def __init__(self, files: DataFrame, keep: bool = False):
-        known = files if "language" in files.columns else detect_language(files)
+        self.files = files if "language" in files.columns else detect_language(files)
+        self.keep = keep
         self._kept: list[DataFrame] = []
 
-        def hold(df: DataFrame) -> DataFrame:
-            if keep:
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
-                self._kept.append(df)
-            return df
-
-        py = hold(lines(spread(known.where(F.col("language") == "python")), "python"))
-        js = hold(lines(spread(known.where(F.col("language").isin("javascript", "typescript"))),
-                        "script"))
-        self.python_lines, self.script_lines = py, js
-        self.python_statements = hold(statements(py, "python"))
-        self.script_statements = hold(statements(js, "script"))
-        self.python_tokens = tokens(py)
-        self.script_tokens = hold(script_rules.neighbours(tokens(js)))
+    def _hold(self, df: DataFrame) -> DataFrame:
+        if self.keep:
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept.append(df)
+        return df
+
+    def _lines(self, family: str, *languages: str) -> DataFrame:
+        chosen = self.files.where(F.col("language").isin(*languages))
+        return self._hold(lines(spread(chosen), family))
+
+    @cached_property
+    def python_lines(self) -> DataFrame:
+        return self._lines("python", "python")
+
+    @cached_property
+    def script_lines(self) -> DataFrame:
+        return self._lines("script", "javascript", "typescript")
+
+    @cached_property
+    def python_statements(self) -> DataFrame:
+        return self._hold(statements(self.python_lines, "python"))
+
+    @cached_property
+    def script_statements(self) -> DataFrame:
+        return self._hold(statements(self.script_lines, "script"))
+
+    @cached_property
+    def python_tokens(self) -> DataFrame:
+        return tokens(self.python_lines)
+
+    @cached_property
+    def script_tokens(self) -> DataFrame:
+        return self._hold(script_rules.neighbours(tokens(self.script_lines)))
 
     def release(self) -> None:
         for df in self._kept:

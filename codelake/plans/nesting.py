@@ -41,39 +41,47 @@ def nest(spans: DataFrame, start: str, end: str, label: list[str]) -> DataFrame:
                                   if c not in KEY], "depth", "chain")
 
 
-def innermost_scope(rows: DataFrame, line: str, scopes: DataFrame) -> DataFrame:
-    """Set scope_id of each row to the deepest scope whose lines hold it.
+def innermost_scope(rows: DataFrame, line: str, scopes: DataFrame,
+                    take: dict[str, str] | None = None) -> DataFrame:
+    """Give each row the deepest scope whose lines hold it: its scope_id, or the columns `take`
+    names (scope column -> new column).
 
     The answer only changes where a scope starts or has just ended. It is worked out for those
     breakpoints, depth by depth, and carried forward to the rows by one running window, so the
     large side is sorted once and never multiplied. Equal depth on one line: the later start.
     """
-    s = scopes.select(*KEY, "scope_id", "start_line", "end_line", "depth",
+    take = take or {"scope_id": "scope_id"}
+    labels = F.struct(*[F.col(c).alias(n) for c, n in take.items()])
+    s = scopes.select(*KEY, "start_line", "end_line", "depth", labels.alias("_label"),
                       F.max("depth").over(Window.partitionBy(*KEY)).alias("_deepest"))
-    breaks = (s.select(*KEY, "_deepest", F.explode(F.array(
-        "start_line", F.col("end_line") + 1)).alias("_line")).distinct()
-        .select(*KEY, "_line", F.explode(F.sequence(F.lit(0), "_deepest")).alias("depth"),
-                F.lit(1).alias("_kind"), F.lit(None).cast(
-                    "struct<end_line:int,scope_id:string>").alias("_scope")))
-    starts = s.select(*KEY, F.col("start_line").alias("_line"), "depth", F.lit(0).alias("_kind"),
-                      F.struct("end_line", "scope_id").alias("_scope"))
-    by_depth = Window.partitionBy(*KEY, "depth").orderBy("_line", "_kind", "_scope")
-    looked = starts.unionByName(breaks).withColumn(
-        "_found", F.last("_scope", True).over(by_depth.rowsBetween(PAST, 0))).where("_kind = 1")
-    holds = F.col("_found.end_line") >= F.col("_line")
-    at = looked.groupBy(*KEY, "_line").agg(
-        F.max(F.when(holds, F.struct("depth", "_found.scope_id"))).alias("_best"))
-    carried = [c for c in rows.columns if c not in KEY and c != "scope_id"]
-    left = at.select(*KEY, "_line", F.lit(0).alias("_kind"),
-                     F.struct(F.col("_best.scope_id").alias("id")).alias("_b"),
-                     F.lit(None).cast(rows.select(F.struct(*carried).alias("x")).schema["x"]
-                                      .dataType).alias("_r"))
+
+    def event(at, depth, kind, scope):
+        return F.struct(at.alias("line"), depth.alias("depth"), F.lit(kind).alias("kind"),
+                        scope.alias("scope"))
+
+    mine = F.struct(F.col("end_line"), F.col("_label"))
+    start, after = F.col("start_line"), F.col("end_line") + 1
+    breaks = F.flatten(F.transform(F.sequence(F.lit(0), F.col("_deepest")), lambda d: F.array(*[
+        event(at, d, 1, F.when(F.lit(False), mine)) for at in (start, after)])))
+    events = s.select(*KEY, F.explode(F.concat(
+        F.array(event(start, F.col("depth"), 0, F.when(F.lit(True), mine))), breaks)).alias("e"))
+    events = events.select(*KEY, "e.*")
+    by_depth = Window.partitionBy(*KEY, "depth").orderBy("line", "kind", "scope")
+    looked = events.withColumn("_found", F.last("scope", True).over(
+        by_depth.rowsBetween(PAST, 0))).where("kind = 1")
+    holds = F.col("_found.end_line") >= F.col("line")
+    best = looked.groupBy(*KEY, "line").agg(
+        F.max(F.when(holds, F.struct("depth", "_found._label"))).alias("_best"))
+    carried = [c for c in rows.columns if c not in KEY and c not in take.values()]
+    row, label = F.struct(*carried), F.struct(F.col("_best._label").alias("x"))
+    left = best.select(*KEY, F.col("line").alias("_line"), F.lit(0).alias("_kind"),
+                       label.alias("_b"))
     right = rows.select(*KEY, F.col(line).alias("_line"), F.lit(1).alias("_kind"),
-                        F.lit(None).cast("struct<id:string>").alias("_b"),
-                        F.struct(*carried).alias("_r"))
+                        row.alias("_r"))
     w = Window.partitionBy(*KEY).orderBy("_line", "_kind").rowsBetween(PAST, 0)
-    out = left.unionByName(right).withColumn("_id", F.last("_b", True).over(w)).where("_kind = 1")
-    return out.select(*KEY, *[F.col(f"_r.{c}").alias(c) for c in carried],
-                      F.col("_id.id").alias("scope_id")).select(*rows.columns) \
-        if "scope_id" in rows.columns else out.select(
-            *KEY, *[F.col(f"_r.{c}").alias(c) for c in carried], F.col("_id.id").alias("scope_id"))
+    out = left.unionByName(right, allowMissingColumns=True).withColumn(
+        "_l", F.last("_b", True).over(w)).where("_kind = 1")
+    out = out.select(*KEY, *[F.col(f"_r.{c}").alias(c) for c in carried],
+                     *[F.col(f"_l.x.{n}").alias(n) for n in take.values()])
+    return out.select(*[c for c in rows.columns], *[
+        n for n in take.values() if n not in rows.columns])

@@ -14,7 +14,7 @@ from codelake.operators import graph as G
 from codelake.operators import sessions as S
 from codelake.operators import todos as K
 from codelake.operators import versions as V
-from codelake.plans.index import Extraction
+from codelake.plans.index import ENTITIES, Extraction, index_project
 from codelake.session import new_folder
 from codelake.sources import scan as I
 from codelake.sources import tables as T
@@ -56,6 +56,19 @@ def extraction(spark, sf) -> Extraction:
     return Extraction(corpus(spark, sf))
 
 
+_STORES: dict[tuple[str, str], T.TableStore] = {}
+
+
+def index(spark, sf) -> T.TableStore:
+    """The stored index of the corpus: built by the first query that needs it, then read."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        store = T.TableStore(spark, new_folder(spark, "index"))
+        index_project(store, feeds.corpus(load(spark, sf, "part")), indexed_at=at())
+        _STORES[key] = store
+    return _STORES[key]
+
+
 def document_rows(spark, sf) -> DataFrame:
     """Two versions of every document, the older one with an empty title line added."""
     files = D.select_documents(feeds.document_files(load(spark, sf, "documents")))
@@ -207,10 +220,10 @@ def i4_diff_files(spark, sf):
 
 @query
 def i5_index_run_stats(spark, sf):
-    e = extraction(spark, sf)
+    store = index(spark, sf)
     files = I.file_facts(corpus(spark, sf))
-    old = files.where("line_count % 4 != 0").withColumn("indexed_at", F.lit(1))
-    return I.index_run_stats(I.diff_files(files, old), e.tables())
+    old = store.read("files").where("line_count % 4 != 0")
+    return I.index_run_stats(I.diff_files(files, old), {e: store.read(e) for e in ENTITIES})
 
 
 @query
@@ -222,8 +235,8 @@ def i6_replace_files(spark, sf):
         F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("file_path"))
     edited = files.join(changed, I.FILE_KEY, "left_semi").withColumn(
         "content", F.concat("content", F.lit("\ndef added():\n    pass\n")))
-    old, new = Extraction(files).table("symbols"), Extraction(edited).table("symbols")
-    table = I.replace_files(old, new, changed)
+    new = Extraction(edited).table("symbols")
+    table = I.replace_files(index(spark, sf).read("symbols"), new, changed)
     return longs(table.select("file_path", "name", "kind", "start_line", "end_line"),
                  "start_line", "end_line")
 
@@ -365,7 +378,7 @@ def d2_select_documents(spark, sf):
 
 @query
 def d3_list_documents(spark, sf):
-    rows = D.list_documents(document_rows(spark, sf), "src3", "readme")
+    rows = D.list_documents(document_rows(spark, sf), "src3", "api")
     return longs(rows, "word_count").select("file_path", "doc_type", "title", "format",
                                             "word_count")
 
@@ -399,46 +412,46 @@ def d6_concept_coverage(spark, sf):
 
 @query
 def c1_find_symbols(spark, sf):
-    found = C.find_symbols(extraction(spark, sf).table("symbols"), "proj-2", name="size%",
+    found = C.find_symbols(index(spark, sf).read("symbols"), "proj-2", name="size%",
                            kind="function")
     return longs(found, "start_line", "end_line")
 
 
 @query
 def c2_file_symbols(spark, sf):
-    found = C.file_symbols(extraction(spark, sf).table("symbols"), "proj-1", "src/m36.py")
+    found = C.file_symbols(index(spark, sf).read("symbols"), "proj-1", "src/m36.py")
     return longs(found, "start_line", "end_line")
 
 
 @query
 def c3_file_imports(spark, sf):
-    return _imports(C.file_imports(extraction(spark, sf).table("imports"), "proj-1",
+    return _imports(C.file_imports(index(spark, sf).read("imports"), "proj-1",
                                    "src/m37.js"))
 
 
 @query
 def c4_file_exports(spark, sf):
-    return _exports(C.file_exports(extraction(spark, sf).table("exports"), "proj-1",
+    return _exports(C.file_exports(index(spark, sf).read("exports"), "proj-1",
                                    "src/m36.py"))
 
 
 @query
 def c5_dependencies(spark, sf):
-    rows = C.dependencies(extraction(spark, sf).table("imports"), "proj-3")
+    rows = C.dependencies(index(spark, sf).read("imports"), "proj-3")
     return joined(longs(rows, "start_line"), "imported_names")
 
 
 @query
 def c6_find_references(spark, sf):
-    return _references(C.find_references(extraction(spark, sf).table("references"), "proj-2",
+    return _references(C.find_references(index(spark, sf).read("references"), "proj-2",
                                          "total"))
 
 
 @query
 def c7_index_stats(spark, sf):
-    e = extraction(spark, sf)
-    tables = e.tables()
-    files = I.file_rows(corpus(spark, sf), at())
+    store = index(spark, sf)
+    tables = {e: store.read(e) for e in ENTITIES}
+    files = store.read("files")
     again = files.where("line_count % 2 = 0").withColumn(
         "indexed_at", F.timestamp_seconds(F.lit(1600000000)))
     edges = G.resolve_references(tables["references"], tables["symbols"], G.resolve_imports(
@@ -449,15 +462,16 @@ def c7_index_stats(spark, sf):
 
 @query
 def c8_symbols_across_projects(spark, sf):
-    rows = C.symbols_across_projects(extraction(spark, sf).table("symbols"),
+    rows = C.symbols_across_projects(index(spark, sf).read("symbols"),
                                      feeds.projects(load(spark, sf, "part")), F.col("is_async"))
     return longs(rows, "start_line")
 
 
 @query
 def c9_project_overview(spark, sf):
-    rows = C.project_overview(feeds.projects(load(spark, sf, "part")), corpus(spark, sf),
-                              extraction(spark, sf).table("symbols"))
+    rows = C.project_overview(feeds.projects(load(spark, sf, "part")),
+                              index(spark, sf).read("files"),
+                              index(spark, sf).read("symbols"))
     return rows.select("project_name", "git_commit", "file_count", "symbol_count")
 
 
@@ -465,7 +479,7 @@ def c9_project_overview(spark, sf):
 
 @query
 def g1_dependency_edges(spark, sf):
-    return G.dependency_edges(extraction(spark, sf).table("imports")).drop("project_id")
+    return G.dependency_edges(index(spark, sf).read("imports")).drop("project_id")
 
 
 @query
@@ -480,16 +494,17 @@ def g1_page_fan_out(spark, sf):
 
 @query
 def g2_resolve_imports(spark, sf):
-    rows = G.resolve_imports(extraction(spark, sf).table("imports"), corpus(spark, sf))
+    rows = G.resolve_imports(index(spark, sf).read("imports"),
+                             index(spark, sf).read("files"))
     return longs(rows.select("file_path", "module_path", "start_line", "target_file"),
                  "start_line")
 
 
 @query
 def g3_resolve_references(spark, sf):
-    e = extraction(spark, sf)
-    resolved = G.resolve_imports(e.table("imports"), corpus(spark, sf))
-    edges = G.resolve_references(e.table("references"), e.table("symbols"), resolved, at())
+    store = index(spark, sf)
+    resolved = G.resolve_imports(store.read("imports"), store.read("files"))
+    edges = G.resolve_references(store.read("references"), store.read("symbols"), resolved, at())
     return longs(edges.select("source_file", "source_line", "source_col", "target_file",
                               "target_line", "target_col", "edge_type", "resolved_by"),
                  "source_line", "source_col", "target_line", "target_col")
@@ -497,20 +512,17 @@ def g3_resolve_references(spark, sf):
 
 @query
 def g4_assign_scope(spark, sf):
-    e = extraction(spark, sf)
-    scopes = e.table("scopes")
-    rows = G.assign_scope(e.table("references").select(
-        "project_id", "file_path", "name", "start_line", "start_col"), scopes)
-    names = scopes.select("scope_id", F.col("name").alias("scope_name"),
-                          F.col("kind").alias("scope_kind"), F.col("depth").alias("scope_depth"))
-    return longs(rows.join(names, "scope_id").select(
-        "file_path", "name", "start_line", "start_col", "scope_kind", "scope_name",
-        "scope_depth"), "start_line", "start_col", "scope_depth")
+    store = index(spark, sf)
+    rows = store.read("references").select("project_id", "file_path", "name", "start_line",
+                                           "start_col")
+    found = G.assign_scope(rows, store.read("scopes"), take={
+        "kind": "scope_kind", "name": "scope_name", "depth": "scope_depth"})
+    return longs(found.drop("project_id"), "start_line", "start_col", "scope_depth")
 
 
 @query
 def g5_qualify_symbols(spark, sf):
-    symbols = extraction(spark, sf).table("symbols").drop("metadata")
+    symbols = index(spark, sf).read("symbols").drop("metadata")
     bare = symbols.withColumns({"qualified_name": F.col("name"),
                                 "parent_symbol_id": F.lit(None).cast("string")})
     rows = G.qualify_symbols(bare)

@@ -32,8 +32,11 @@ _IDENT = r"^[\p{L}_$]"
 
 
 def _is(column: str | Column, *words: str) -> Column:
-    col = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(col.isin(*words), F.lit(False))
+    """True when the value is one of the words; NULL counts as no."""
+    if isinstance(column, str):
+        listed = ", ".join("'" + w + "'" for w in words)
+        return F.expr(f"coalesce({column} IN ({listed}), false)")
+    return F.coalesce(column.isin(*words), F.lit(False))
 
 
 def neighbours(token_rows: DataFrame) -> DataFrame:

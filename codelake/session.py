@@ -19,7 +19,8 @@ SETTINGS = {
 def build_session(master: str = "local[*]", **extra: str) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     builder = SparkSession.builder.master(master).appName("codelake")
-    local = {"spark.driver.memory": "20g", "spark.ui.enabled": "false"}
+    local = {"spark.python.sql.dataFrameDebugging.enabled": "false", "spark.driver.memory": "20g",
+             "spark.ui.enabled": "false"}
     for key, value in {**SETTINGS, **local, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -71,7 +71,7 @@ class TableStore:
         """Add rows and return how many; the first append fixes the schema.
 
         Later rows are aligned by name: missing columns become NULL, extra ones are dropped. An
-        empty batch writes nothing.
+        empty batch creates no table.
         """
         there = self.exists(table)
         if not there and not create:
@@ -81,16 +81,18 @@ class TableStore:
         rows = df.select(*[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in target])
-        if df.isEmpty():
-            return 0
         if sort_by or partition_by:
             rows = rows.sortWithinPartitions(*partition_by, *(sort_by or []))
         written = Observation()
         out = rows.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append")
         if partition_by:
             out = out.partitionBy(*partition_by)
-        out.parquet(self.location(table) if there else self._next(table))
-        return written.get["n"]
+        path = self.location(table) if there else self._next(table)
+        out.parquet(path)
+        count = written.get.get("n", 0)
+        if not count and not there:
+            self._fs().delete(self._path(path), True)
+        return count
 
     def replace(self, table: str, df: DataFrame, sort_by: list[str] | None = None,
                 partition_by: list[str] | None = None) -> None:
