@@ -21,8 +21,9 @@ ENTITIES = ("symbols", "types", "imports", "exports", "scopes", "references")
 class Extraction:
     """The six entity tables of a set of files, each a lazy frame.
 
-    `keep` stores lines, statements and tokens on the executors' disks while several tables are
-    written from them; release() drops them.
+    `keep` stores the small frames that several tables share (marked statements, definitions,
+    spans) on the executors' disks while the tables are written; release() drops them. Lines and
+    tokens are large and cheap to recompute, so they are never kept.
     """
 
     def __init__(self, files: DataFrame, keep: bool = False):
@@ -36,53 +37,65 @@ class Extraction:
             self._kept.append(df)
         return df
 
-    def _lines(self, family: str, *languages: str) -> DataFrame:
-        chosen = self.files.where(F.col("language").isin(*languages))
-        return self._hold(lines(spread(chosen), family))
+    def release(self) -> None:
+        for df in self._kept:
+            df.unpersist()
+
+    @cached_property
+    def python_files(self) -> DataFrame:
+        return self.files.where(F.col("language") == "python")
+
+    @cached_property
+    def script_files(self) -> DataFrame:
+        return self.files.where(F.col("language").isin("javascript", "typescript"))
 
     @cached_property
     def python_lines(self) -> DataFrame:
-        return self._lines("python", "python")
+        return lines(spread(self.python_files), "python")
 
     @cached_property
     def script_lines(self) -> DataFrame:
-        return self._lines("script", "javascript", "typescript")
+        return lines(spread(self.script_files), "script")
 
     @cached_property
-    def python_statements(self) -> DataFrame:
-        return self._hold(statements(self.python_lines, "python"))
+    def definitions(self) -> DataFrame:
+        return self._hold(python_rules.definitions(statements(self.python_lines, "python")))
 
     @cached_property
-    def script_statements(self) -> DataFrame:
-        return self._hold(statements(self.script_lines, "script"))
+    def python_marked(self) -> DataFrame:
+        return self._hold(statements(self.python_lines, "python").where("kind is not null"))
 
     @cached_property
-    def python_tokens(self) -> DataFrame:
-        return tokens(self.python_lines)
+    def script_marked(self) -> DataFrame:
+        return self._hold(statements(self.script_lines, "script").where("kind is not null"))
 
     @cached_property
     def script_tokens(self) -> DataFrame:
-        return self._hold(script_rules.neighbours(tokens(self.script_lines)))
+        return script_rules.neighbours(tokens(self.script_lines))
 
-    def release(self) -> None:
-        for df in self._kept:
-            df.unpersist()
+    @cached_property
+    def spans(self) -> DataFrame:
+        return self._hold(script_rules.spans(self.script_tokens))
 
     def python(self, entity: str) -> DataFrame:
         if entity == "references":
-            return python_rules.references(self.python_tokens)
+            return python_rules.references(tokens(self.python_lines))
+        if entity == "symbols":
+            return python_rules.symbols(self.definitions)
         if entity == "scopes":
-            return python_rules.scopes(self.python_statements, self.python_lines)
-        return getattr(python_rules, entity)(self.python_statements)
+            return python_rules.scopes(self.definitions, self.python_files)
+        return getattr(python_rules, entity)(self.python_marked)
 
     def script(self, entity: str) -> DataFrame:
-        if entity in ("symbols", "references"):
-            return getattr(script_rules, entity)(self.script_tokens)
+        if entity == "references":
+            return script_rules.references(self.script_tokens)
+        if entity == "symbols":
+            return script_rules.symbols(self.spans)
         if entity == "scopes":
-            return script_rules.scopes(self.script_tokens, self.script_lines)
+            return script_rules.scopes(self.spans, self.script_files)
         if entity == "imports":
-            return script_rules.imports(self.script_statements, self.script_lines)
-        return getattr(script_rules, entity)(self.script_statements)
+            return script_rules.imports(self.script_marked, self.script_lines)
+        return getattr(script_rules, entity)(self.script_marked)
 
     def table(self, entity: str) -> DataFrame:
         schema = TABLES[entity].schema

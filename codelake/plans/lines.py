@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelake.functions.text import row_id
+
 KEY = ["project_id", "file_path"]
 PAST = Window.unboundedPreceding
 
@@ -133,6 +135,16 @@ def lines(files: DataFrame, family: str) -> DataFrame:
                        .alias("depth"))
 
 
+def module_scopes(files: DataFrame) -> DataFrame:
+    """The outermost scope of each file, from its first to its last line."""
+    newlines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    return files.select(
+        row_id(*KEY, F.lit("module")).alias("scope_id"), *KEY,
+        F.lit(None).cast("string").alias("parent_scope_id"), F.lit("module").alias("kind"),
+        F.lit(None).cast("string").alias("name"), F.lit(1).alias("start_line"),
+        (newlines + 1).alias("end_line"), F.lit(0).alias("depth"))
+
+
 # Statement kinds by what their first line looks like.
 _PYTHON_KINDS = [
     ("def", r"^\s*(?:async\s+def|def|class)\s+\w"),

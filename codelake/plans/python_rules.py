@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelake.functions.text import row_id
-from codelake.plans.lines import KEY, PAST, TOKEN_ORDER, balanced, before, by_file, raw_slice
+from codelake.plans.lines import (KEY, PAST, TOKEN_ORDER, balanced, before, by_file,
+                                  module_scopes, raw_slice)
 
 # Reserved words, which are not references.
 KEYWORDS = ["False", "None", "True", "and", "as", "assert", "async", "await", "break", "class",
@@ -123,8 +124,8 @@ def scope_id(line: str, name: str) -> Column:
     return F.when(F.col(line).isNotNull(), row_id(*KEY, F.lit("scope"), name, line))
 
 
-def symbols(statements: DataFrame) -> DataFrame:
-    d = definitions(statements)
+def symbols(d: DataFrame) -> DataFrame:
+    """Rows of the symbols table from definitions()."""
     kind = (F.when(F.col("is_class"), "class")
             .when(F.coalesce("in_class", F.lit(False)), "method").otherwise("function"))
     return d.select(
@@ -136,20 +137,15 @@ def symbols(statements: DataFrame) -> DataFrame:
         "decorators", F.lit("{}").alias("metadata"))
 
 
-def scopes(statements: DataFrame, line_rows: DataFrame) -> DataFrame:
+def scopes(d: DataFrame, files: DataFrame) -> DataFrame:
     """The module of each file and one scope per definition."""
-    module = line_rows.groupBy(*KEY).agg(F.max("line_no").alias("end_line")).select(
-        row_id(*KEY, F.lit("module")).alias("scope_id"), *KEY,
-        F.lit(None).cast("string").alias("parent_scope_id"),
-        F.lit("module").alias("kind"), F.lit(None).cast("string").alias("name"),
-        F.lit(1).alias("start_line"), "end_line", F.lit(0).alias("depth"))
-    inner = definitions(statements).select(
+    inner = d.select(
         scope_id("start_line", "name").alias("scope_id"), *KEY,
         F.coalesce(scope_id("parent_line", "parent_name"), row_id(*KEY, F.lit("module")))
         .alias("parent_scope_id"),
         F.when(F.col("is_class"), "class").otherwise("function").alias("kind"),
         "name", "start_line", "end_line", "depth")
-    return module.unionByName(inner)
+    return module_scopes(files).unionByName(inner)
 
 
 def _newlines(text: Column) -> Column:

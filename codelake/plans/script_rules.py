@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelake.functions.text import row_id
-from codelake.plans.lines import KEY, PAST, TOKEN_ORDER, by_file, raw_slice
+from codelake.plans.lines import KEY, PAST, TOKEN_ORDER, by_file, module_scopes, raw_slice
 from codelake.plans.nesting import nest
 
 # Words that are never references.
@@ -201,10 +201,10 @@ def spans(rows: DataFrame) -> DataFrame:
     return t.select(*KEY, "language", F.explode(found).alias("f")).select(*KEY, "language", "f.*")
 
 
-def symbols(rows: DataFrame) -> DataFrame:
-    """Functions, function values bound to a variable, classes and methods."""
+def symbols(found: DataFrame) -> DataFrame:
+    """Functions, function values bound to a variable, classes and methods, from spans()."""
     first = F.coalesce("bound_at", "begin")
-    s = spans(rows).where("is_symbol").select(
+    s = found.where("is_symbol").select(
         *KEY, "name", "kind", "is_static", "is_async", first.alias("begin"), "fin",
         F.col("bound_at").isNotNull().alias("_bound"))
     n = nest(s, "begin", "fin", ["name", "begin"])
@@ -223,9 +223,9 @@ def symbols(rows: DataFrame) -> DataFrame:
         F.array().cast("array<string>").alias("decorators"), F.lit("{}").alias("metadata"))
 
 
-def scopes(rows: DataFrame, line_rows: DataFrame) -> DataFrame:
+def scopes(found: DataFrame, files: DataFrame) -> DataFrame:
     """The module of each file, and its functions, arrow functions and classes."""
-    s = spans(rows).where("is_scope").select(*KEY, "kind", F.col("scope_name").alias("name"),
+    s = found.where("is_scope").select(*KEY, "kind", F.col("scope_name").alias("name"),
                                              "begin", "fin")
     n = nest(s, "begin", "fin", ["begin"])
     parent = F.try_element_at("chain", F.lit(-1))
@@ -235,11 +235,7 @@ def scopes(rows: DataFrame, line_rows: DataFrame) -> DataFrame:
         F.when(parent.isNotNull(), row_id(*KEY, F.lit("scope"), parent["begin"]))
         .otherwise(module_id).alias("parent_scope_id"), "kind", "name",
         line_of("begin").alias("start_line"), line_of("fin").alias("end_line"), "depth")
-    module = line_rows.groupBy(*KEY).agg(F.max("line_no").alias("end_line")).select(
-        module_id.alias("scope_id"), *KEY, F.lit(None).cast("string").alias("parent_scope_id"),
-        F.lit("module").alias("kind"), F.lit(None).cast("string").alias("name"),
-        F.lit(1).alias("start_line"), "end_line", F.lit(0).alias("depth"))
-    return module.unionByName(inner)
+    return module_scopes(files).unionByName(inner)
 
 
 def references(rows: DataFrame) -> DataFrame:
