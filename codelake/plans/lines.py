@@ -107,6 +107,7 @@ def _script_piece(p: Column) -> Column:
 
 BYTES_PER_TASK = 64 << 20
 MAX_TASKS = 100_000
+UNKNOWN_SIZE = 1 << 53  # sources without statistics report a huge size
 
 
 def spread(files: DataFrame) -> DataFrame:
@@ -119,7 +120,8 @@ def spread(files: DataFrame) -> DataFrame:
     rows = files.select(*KEY, "language", "content")
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(floor, min(size // BYTES_PER_TASK, MAX_TASKS)), *KEY)
+    wanted = 0 if size > UNKNOWN_SIZE else min(size // BYTES_PER_TASK, MAX_TASKS)
+    return rows.repartition(max(floor, wanted), *KEY)
 
 
 def lines(files: DataFrame, family: str) -> DataFrame:
