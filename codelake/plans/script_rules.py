@@ -58,6 +58,7 @@ def neighbours(token_rows: DataFrame) -> DataFrame:
     lead = F.when(breaks & (F.col("level") == 0), F.when(
         _is("tok", "export", "declare"), F.col("next")).otherwise(F.col("tok")))
     return t.withColumn("breaks", breaks).withColumn(
+        "eof", F.max("fin").over(Window.partitionBy(*KEY))).withColumn(
         "in_type", _is(F.last(lead, True).over(w.rowsBetween(PAST, 0)), "type", "interface")
     ).drop(*TOKEN_ORDER)
 
@@ -192,7 +193,7 @@ def spans(rows: DataFrame) -> DataFrame:
     a_async = _is(names[0], "async")
     a_bound = bound(F.when(a_async, names[1]).otherwise(names[0]),
                     F.when(a_async, at[2]).otherwise(at[1]))
-    a_end = F.when(F.col("next") == "{", F.col("body.fin")).otherwise(F.col("stop"))
+    a_end = F.when(F.col("next") == "{", F.col("body.fin")).otherwise(F.coalesce("stop", "eof"))
     arrow = F.when((F.col("tok") == "=>") & ~F.col("in_type") & at[0].isNotNull(), row(
         "function", text, F.col("decl.tok"), F.when(a_async, at[1]).otherwise(at[0]),
         a_end, a_bound.isNotNull(), no, a_async, a_bound))
@@ -256,7 +257,7 @@ def references(rows: DataFrame) -> DataFrame:
     key = (role == "object") & _is("t1", "{", ",") & _is("next", ":", ",", "}", "=", "(")
     annotation = ts & _is("t1", ":") & (
         _is("t2", ")", "?", "!") | _is("t3", *_DECLARE) | _is(role, "class", "interface")
-        | ((role == "(") & _is("t3", "(", ",")))
+        | ((role == "(") & _is("t3", "(", ",", *_MODIFIERS)))
     type_name = ts & (_is("t1", "class", "implements", "enum") | annotation
                       | (_is("t1", "as") & (role != "names"))
                       | (_is("t1", "<") & _is("next", ">", ",")))

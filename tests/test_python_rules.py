@@ -31,7 +31,7 @@ TEXT = "def no(): # not"
 )
 @two
 async def first(a, b: dict[str, int] = {"k": (1, 2)}, *, c: "Q" = None) -> list[str]:
-    r"""raw \\"""
+    r"""raw \\\\"""
     def inner(z=lambda q: (q, 1)):
         return z
 # comment at zero

@@ -101,8 +101,8 @@ def test_imports_and_exports(work):
 
 
 def test_scopes(work):
-    got = sorted((r.kind, r.name, r.start_line, r.end_line, r.depth)
-                 for r in rows(work.script("scopes"), "a.js") if r.depth)
+    got = [(r.kind, r.name, r.start_line, r.end_line, r.depth)
+           for r in rows(work.script("scopes"), "a.js") if r.depth]
     want = [("class", "Main", 8, 16, 1), ("function", None, 15, 15, 2),
             ("function", "outer", 18, 27, 1), ("function", "inner", 19, 21, 2),
             ("function", None, 20, 20, 3), ("function", None, 22, 23, 2),
