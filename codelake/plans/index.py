@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codelake.plans import python_rules, script_rules
 from codelake.plans.lines import KEY, lines, spread, statements, tokens
 from codelake.schemas import TABLES
+from codelake.session import new_folder
 from codelake.sources.scan import (detect_language, diff_files, file_facts, file_rows,
                                    files_to_index, replace_files)
 from codelake.sources.tables import TableStore
@@ -118,7 +119,10 @@ def index_project(store: TableStore, scan: DataFrame, force: bool = False,
     facts = file_facts(detect_language(scan))
     if not store.exists("files"):
         store.replace("files", store.spark.createDataFrame([], TABLES["files"].schema))
-    diff = diff_files(facts, store.read("files"), force).persist(StorageLevel.MEMORY_AND_DISK)
+    # Written out, because the status must not move once the files table does.
+    path = new_folder(store.spark, "diff")
+    diff_files(facts, store.read("files"), force).write.parquet(path)
+    diff = store.spark.read.parquet(path)
     todo = files_to_index(diff)
     if not todo.isEmpty():
         chosen = scan.join(todo, KEY, "left_semi")
@@ -126,9 +130,8 @@ def index_project(store: TableStore, scan: DataFrame, force: bool = False,
         for entity in ENTITIES:
             rows, order = work.table(entity), list(TABLES[entity].sort_by)
             if store.exists(entity):
-                store.replace(entity, replace_files(store.read(entity), rows, todo), order)
-            else:
-                store.append(entity, rows, schema=TABLES[entity].schema, sort_by=order)
+                rows = replace_files(store.read(entity), rows, todo)
+            store.replace(entity, rows, order)
         # The files table comes last: a run that breaks off is found as still to do.
         store.append("files", file_rows(chosen, when), sort_by=KEY)
         work.release()

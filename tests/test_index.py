@@ -13,7 +13,7 @@ def test_scan_real_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.PY").write_text("é = 1\n")
     (tmp_path / "a" / "y.txt").write_text("no")
-    (tmp_path / "top.ts").write_text("")
+    (tmp_path / "top.ts").write_text("let a")
     rows = {r.file_path.rsplit("/", 1)[1]: r for r in I.scan_files(spark, str(tmp_path)).collect()}
     assert set(rows) == {"x.PY", "top.ts"}
     assert rows["x.PY"].content == "é = 1\n" and rows["x.PY"].byte_size == 7
