@@ -28,13 +28,21 @@ def build_session(master: str = "local[*]", **extra: str) -> SparkSession:
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named in spark.checkpoint.dir."""
+    """The folder every executor can reach, as named in spark.checkpoint.dir.
+
+    Only where none is named, as in tests, a folder of this process is used.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="codelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="codelake-")
+    return _OWN[app]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -119,7 +119,7 @@ class TableStore:
             self.replace(table, rows_without(df, equals, delete_all))
             return removed
         touched = df.where(hit).select(*parts).distinct()
-        kept = df.join(F.broadcast(touched), parts, "left_semi").where(~hit)
+        kept = df.join(touched, parts, "left_semi").where(~hit)
         location = self.location(table)
         emptied = touched.join(kept.select(*parts).distinct(), parts, "left_anti").collect()
         (kept.select(*df.columns).write.mode("overwrite")
