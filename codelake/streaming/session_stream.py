@@ -7,17 +7,12 @@ from pyspark.sql import functions as F
 
 from codelake.operators.sessions import merge_rollups, session_rollup
 
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-}
-
-
 def stream_session_rollup(source: DataFrame, target: str, checkpoint: str,
                           identity: list[str]) -> None:
     """Add a stream of messages to partial rollups until it is drained.
 
-    Repeated messages are dropped by identity in the state store; every micro-batch writes the
+    Repeated messages are dropped by identity in the state store (a cluster sets the RocksDB
+    provider in spark.sql.streaming.stateStore.providerClass); every micro-batch writes the
     partial sums of its new messages to its own batch_id folder, so a repeated batch replaces
     itself. Only partial sums leave a batch: a session with a third of all messages costs one row
     per task.
