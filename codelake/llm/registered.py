@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codelake.llm import exact
+from codelake.llm import exact, quality, simhash
 
-MODULES = [exact]
+MODULES = [exact, quality, simhash]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
