@@ -156,19 +156,23 @@ class Searcher:
         keys = self.walks.keys(np.concatenate(self.items), np.cumsum(sizes) - sizes, sizes)
         order = np.argsort(keys, axis=1, kind="stable")
         self.keys = [(k[o], o) for k, o in zip(keys, order, strict=True)]
-        self.runs = [np.unique(runs(x, 2)) for x in self.items]
+        self.runs = {q: [np.unique(runs(x, q)) for x in self.items] for q in (2, 3)}
         self.known = {}
         for q in (2, 3):  # a Bloom filter with one hash
             self.known[q] = np.zeros(1 << 24, bool)
-            for x in self.items:
-                self.known[q][runs(x, q) % np.uint64(1 << 24)] = True
+            for x in self.runs[q]:
+                self.known[q][x % np.uint64(1 << 24)] = True
 
     def candidates(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(start, item) pairs whose window shares a key; ends: for each word, where its text ends."""
-        codes, before = runs(ids, 2), {}
+        before, places = {}, {}
         for q, bits in self.known.items():
             own = runs(ids, q)
-            before[q] = np.concatenate([[0], np.cumsum((own > 0) & bits[own % np.uint64(len(bits))])])
+            known = (own > 0) & bits[own % np.uint64(len(bits))]
+            before[q] = np.concatenate([[0], np.cumsum(known)])
+            at = np.flatnonzero(known)
+            order = np.argsort(own[at], kind="stable")
+            places[q] = own[at][order], at[order]
         starts, sizes = [], []
         for n in self.sizes.tolist():
             last = len(ids) - n + 1
@@ -179,7 +183,7 @@ class Searcher:
                         ok &= sums[n - q + 1:][:last] - sums[:last] >= shared(n, q)
                 starts.append(np.flatnonzero(ok))
                 sizes.append(np.full(len(starts[-1]), n))
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros(0, np.int64)]
         starts, sizes = np.concatenate([[], *starts]).astype(int), np.concatenate([[], *sizes]).astype(int)
         for low in range(0, len(starts), 1 << 14):
             own = starts[low:low + (1 << 14)]
@@ -190,17 +194,24 @@ class Searcher:
                 at = np.repeat(np.arange(len(own)), many)
                 if len(at):
                     offset = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                    found.append(np.stack([own[at], items[left[at] + offset]], 1))
-        return self._alike(codes, np.unique(np.concatenate(found), axis=0))
-
-    def _alike(self, codes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Drop windows with too few pairs of words of the item for the limit."""
-        keep = np.zeros(len(pairs), bool)
-        for item in np.unique(pairs[:, 1]):
-            rows = np.flatnonzero(pairs[:, 1] == item)
+                    found.append(own[at] * len(self.items) + items[left[at] + offset])
+        pairs = np.stack(np.divmod(np.unique(np.concatenate(found)), len(self.items)), 1)
+        return self._alike(places, pairs)
+
+    def _alike(self, places: dict[int, tuple[np.ndarray, np.ndarray]], pairs: np.ndarray) -> np.ndarray:
+        """Drop windows with too few runs of the item for the limit; places: runs in order, and where
+        each is."""
+        keep = np.ones(len(pairs), bool)
+        by_item = np.argsort(pairs[:, 1], kind="stable")
+        cuts = np.flatnonzero(np.diff(pairs[by_item, 1])) + 1
+        for rows in np.split(by_item, cuts) if len(pairs) else []:
+            item, starts = pairs[rows[0], 1], pairs[rows, 0]
             n = len(self.items[item])
-            around = pairs[rows, 0][:, None] + np.arange(n - 1)
-            keep[rows] = np.isin(codes[around], self.runs[item]).sum(axis=1) >= shared(n, 2)
+            for q, (codes, where) in places.items():
+                left, right = (np.searchsorted(codes, self.runs[q][item], side) for side in ("left", "right"))
+                own = np.sort(np.concatenate([where[a:b] for a, b in zip(left, right, strict=True)] or [[]]))
+                inside = np.searchsorted(own, starts + n - q + 1) - np.searchsorted(own, starts)
+                keep[rows] &= inside >= shared(n, q)
         return pairs[keep]
 
     def matches(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
