@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codelake.llm import decontaminate, exact, licences, mixing, quality, simhash
+from codelake.llm import decontaminate, exact, language, licences, mixing, quality, simhash
 
-MODULES = [licences, exact, quality, decontaminate, mixing, simhash]
+MODULES = [language, licences, exact, quality, decontaminate, mixing, simhash]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
