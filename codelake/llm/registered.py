@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codelake.llm import decontaminate, exact, language, licences, mixing, quality, simhash, warc
+from codelake.llm import decontaminate, exact, language, licences, mixing, ngram_lm, quality, simhash, warc
 
-MODULES = [language, licences, exact, quality, decontaminate, mixing, simhash, warc]
+MODULES = [language, licences, exact, quality, decontaminate, mixing, ngram_lm, simhash, warc]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
