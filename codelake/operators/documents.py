@@ -16,11 +16,11 @@ KEY = ["project_id", "file_path"]
 def select_documents(files: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     """Documentation files by path; a path that fits several patterns counts once.
 
-    Needs one row per path, which a scan gives; database folders are left out.
+    Needs one row per path, which a scan gives; database files and folders are left out, by whole
+    names in the path.
     """
-    path = F.col("file_path")
-    return files.where(matches_any("file_path", patterns or DOCUMENT_PATTERNS)
-                       & ~path.contains(".db") & ~path.contains("store/"))
+    inside = F.col("file_path").rlike(r"(^|/)store/|\.db(/|$)")
+    return files.where(matches_any("file_path", patterns or DOCUMENT_PATTERNS) & ~inside)
 
 
 def index_documents(files: DataFrame, indexed_at=None) -> DataFrame:

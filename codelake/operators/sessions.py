@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelake.operators.skew import ROWS_PER_SLICE, numbered
+from codelake.operators.skew import numbered
 from codelake.operators.versions import apply_changes, latest_by_key
 
 ROLES = ["user", "assistant", "system"]
 
 
-def append_messages(existing: DataFrame, batch: DataFrame, order: str,
-                    rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def append_messages(existing: DataFrame, batch: DataFrame, order: str) -> DataFrame:
     """The batch with sequence numbers that continue each session's own count.
 
-    `order` is the arrival order within a session. A session may receive any number of rows:
-    numbering is sliced for hot ones, and their existing maximum is one row per session.
+    `order` is the arrival order within a session, of any type that sorts. A session may receive any
+    number of rows; its existing maximum is one row.
     """
     highest = existing.groupBy("session_id").agg(F.max("sequence_number").alias("_base"))
-    rows = numbered(batch, ["session_id"], order, [], "_n", rows_per_slice=rows_per_slice)
+    rows = numbered(batch, ["session_id"], order, [], "_n")
     return rows.join(highest, "session_id", "left").select(
         *batch.columns,
         (F.col("_n") + F.coalesce("_base", F.lit(0))).cast("bigint").alias("sequence_number"))
@@ -37,10 +36,26 @@ def session_rollup(messages: DataFrame, time: str | None = None,
 
 
 def merge_rollups(parts: DataFrame) -> DataFrame:
-    """Add up partial rollups of the same sessions."""
+    """Add up partial rollups of the same sessions; first and last times are kept where given."""
     counts = [c for c in parts.columns if c.endswith("_count") or c.endswith("_messages")]
+    times = [agg(c).alias(c) for c, agg in (("first_at", F.min), ("last_at", F.max)) if c in parts.columns]
     return parts.groupBy("project_id", "session_id").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in counts])
+        *[F.sum(c).cast("bigint").alias(c) for c in counts], *times)
+
+
+def move_counters(sessions: DataFrame, appended: DataFrame, now) -> DataFrame:
+    """Session rows after messages were appended: counts, tokens and updated_at move.
+
+    `appended` holds the new messages only; its rollup is one row per session."""
+    added = session_rollup(appended).select(
+        F.col("session_id").alias("_session"), F.col("message_count").alias("_messages"),
+        F.coalesce("token_count", F.lit(0)).alias("_tokens"))
+    joined = sessions.join(added, F.col("session_id") == F.col("_session"), "left")
+    moved = {"message_count": F.coalesce("message_count", F.lit(0)) + F.coalesce("_messages", F.lit(0)),
+             "token_count": F.coalesce("token_count", F.lit(0)) + F.coalesce("_tokens", F.lit(0)),
+             "updated_at": F.when(F.col("_session").isNotNull(), now).otherwise(F.col("updated_at"))}
+    return joined.select(*[moved[c].cast(sessions.schema[c].dataType).alias(c) if c in moved else F.col(c)
+                           for c in sessions.columns])
 
 
 def session_messages(messages: DataFrame, sessions: DataFrame, limit: int = 100) -> DataFrame:

@@ -1,8 +1,9 @@
 """Ordered numbering that survives a key holding a large share of the rows.
 
-A plain window puts all rows of one key into one task. Here keys above a row limit are cut into
-value ranges ("slices") of the order column, numbered slice by slice, and the slice totals are
-carried forward. Keys below the limit stay in slice 0, which is the plain window.
+A plain window puts all rows of one key into one task. Here the rows are range-partitioned by key and
+order and stored, so that a key with many rows spans many parts; they are numbered within each part,
+and the counts of the parts before are carried forward. There is one path for every size, and the
+order column may have any type that sorts.
 """
 
 from __future__ import annotations
@@ -10,69 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 5_000_000
-MAX_HEAVY_KEYS = 4096
-_CUTS = [i / 64 for i in range(1, 64)]
-
-
-def slice_bounds(df: DataFrame, keys: list[str], order: str,
-                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
-    """One row per heavy key with its sorted cut points, or None when no key is heavy.
-
-    The limit never falls below total / 4096, so at most 4096 keys can exceed it: that bounds what
-    is collected and broadcast, whatever the size of the data. The cut points are fixed on the
-    driver because an approximate percentile may differ between two evaluations.
-    """
-    spark = df.sparkSession
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max(rows_per_slice, (total or 0) // MAX_HEAVY_KEYS)
-    if not largest or largest <= limit:
-        return None
-    heavy = counts.where(F.col("_n") > limit).select(*keys)
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    cuts = (df.alias("d").join(F.broadcast(heavy.alias("h")), same, "left_semi")
-            .groupBy(*keys)
-            .agg(F.percentile_approx(F.col(order), _CUTS, 1000).alias("_cuts")))
-    return spark.createDataFrame(cuts.collect(), cuts.schema)
-
-
-def with_slice(df: DataFrame, keys: list[str], order: str, bounds: DataFrame | None) -> DataFrame:
-    """Add `_slice`: how many cut points of its key lie below the row's order value."""
-    if bounds is None:
-        return df.withColumn("_slice", F.lit(0))
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(f"d.{order}")))
-    return (df.alias("d").join(F.broadcast(bounds.alias("b")), same, "left")
-            .select("d.*", F.when(F.col("_cuts").isNull(), 0)
-                    .otherwise(F.coalesce(below, F.lit(0))).alias("_slice")))
+from codelake.session import new_folder
 
 
 def numbered(df: DataFrame, keys: list[str], order: str, ties: list[str], number: str,
-             previous: dict[str, str] | None = None,
-             rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+             previous: dict[str, str] | None = None) -> DataFrame:
     """row_number per key in `order`, `ties`; `previous` maps new column -> lagged column."""
     previous = previous or {}
-    bounds = slice_bounds(df, keys, order, rows_per_slice)
-    if bounds is None:
-        w = Window.partitionBy(*keys).orderBy(order, *ties)
-        return df.select("*", F.row_number().over(w).cast("bigint").alias(number),
-                         *[F.lag(c).over(w).alias(n) for n, c in previous.items()])
-    sliced = with_slice(df, keys, order, bounds)
-    w = Window.partitionBy(*keys, "_slice").orderBy(order, *ties)
-    local = sliced.select("*", F.row_number().over(w).cast("bigint").alias("_rn"),
-                          *[F.lag(c).over(w).alias(n) for n, c in previous.items()])
-    lasts = [F.max_by(c, F.struct(order, *ties)).alias(f"_last_{n}") for n, c in previous.items()]
-    sums = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"), *lasts)
-    by_slice = Window.partitionBy(*keys).orderBy("_slice")
+    spark = df.sparkSession
+    path = new_folder(spark, "numbered")
+    (df.repartitionByRange(*keys, order, *ties)
+     .select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row"))
+     .write.parquet(path))
+    rows = spark.read.parquet(path)
+    inside = Window.partitionBy(*keys, "_part").orderBy(order, *ties, "_row")
+    local = rows.select("*", F.row_number().over(inside).cast("bigint").alias("_rn"),
+                        *[F.lag(c).over(inside).alias(n) for n, c in previous.items()])
+    at = F.struct(order, *ties, "_row")
+    sums = rows.groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.max_by(F.struct(F.col(c).alias("v")), at).alias(f"_last_{n}") for n, c in previous.items()])
+    parts = Window.partitionBy(*keys).orderBy("_part")  # one short row for each part of a key
     carried = sums.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"),
-        (F.sum("_n").over(by_slice) - F.col("_n")).alias("_before"),
-        *[F.lag(f"_last_{n}").over(by_slice).alias(f"_carry_{n}") for n in previous],
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"),
+        (F.sum("_n").over(parts) - F.col("_n")).alias("_before"),
+        *[F.lag(f"_last_{n}").over(parts).alias(f"_carry_{n}") for n in previous],
     ).where("_before > 0")
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = local.join(carried, same + [F.col("_slice") == F.col("_s")], "left")
+    joined = local.join(carried, [*same, F.col("_part") == F.col("_p")], "left")
     return joined.select(
         *df.columns, (F.col("_rn") + F.coalesce("_before", F.lit(0))).alias(number),
-        *[F.when(F.col("_rn") == 1, F.col(f"_carry_{n}")).otherwise(F.col(n)).alias(n)
+        *[F.when(F.col("_rn") == 1, F.col(f"_carry_{n}.v")).otherwise(F.col(n)).alias(n)
           for n in previous])

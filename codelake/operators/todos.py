@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake.operators.versions import apply_changes
@@ -12,9 +12,18 @@ from codelake.sources.tables import rows_without
 DEFAULTS = {"status": "open", "priority": "medium"}
 
 
-def upsert_todos(todos: DataFrame, changes: DataFrame) -> DataFrame:
-    return apply_changes(todos, changes, ["todo_id"],
-                         defaults={k: F.lit(v) for k, v in DEFAULTS.items()})
+def upsert_todos(todos: DataFrame, changes: DataFrame, project: str | None = None,
+                 now: Column | None = None, version: str | None = None) -> DataFrame:
+    """Insert or update todos. Of several changes for one todo the newest `version` counts.
+
+    New todos get the given project and, with `now`, their times; an update moves updated_at."""
+    defaults = {k: F.lit(v) for k, v in DEFAULTS.items()}
+    if project is not None:
+        defaults["project_id"] = F.lit(project)
+    if now is not None:
+        changes = changes.withColumn("updated_at", now)
+        defaults |= {"created_at": now, "updated_at": now}
+    return apply_changes(todos, changes, ["todo_id"], version=version, defaults=defaults)
 
 
 def list_todos(todos: DataFrame, project: str | None = None, status: str | None = None,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelake.operators.skew import ROWS_PER_SLICE, numbered
+from codelake.operators.skew import numbered
 
 
 def latest_by_key(df: DataFrame, keys: list[str], version: str,
@@ -27,10 +27,13 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str],
     """Partial update: a NULL in the change leaves the old value; unknown keys are inserted.
 
     missing='error' fails the job on an unknown key instead. `defaults` fill what is still NULL
-    and `keep` names columns an update must not touch.
+    and `keep` names columns an update must not touch. Of several changes for a key the newest
+    `version` counts; without one they fail the job, since their order is unknown.
     """
     if version is not None:
         changes = latest_by_key(changes, keys, version)
+    else:
+        changes = _one_per_key(changes, keys)
     defaults = defaults or {}
     b, c = base.alias("b"), changes.alias("c")
     is_new = F.col("b._seen").isNull()
@@ -55,17 +58,24 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str],
     return joined.select(*columns)
 
 
+def _one_per_key(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The changes, or a failed job where a key has two."""
+    turn = Window.partitionBy(*keys).orderBy(*keys)
+    refuse = F.raise_error(F.concat_ws(" ", F.lit("several changes for key"),
+                                       *[F.col(k).cast("string") for k in keys]))
+    return (changes.withColumn("_turn", F.row_number().over(turn)).where("_turn <= 2")
+            .where(F.when(F.col("_turn") == 2, refuse.cast("boolean")).otherwise(True)).drop("_turn"))
+
+
 def insert_absent(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key the table does not hold yet (initial metadata)."""
     return rows.join(base.select(*keys), keys, "left_anti").dropDuplicates(keys)
 
 
 def version_history(df: DataFrame, keys: list[str], version: str, value: str,
-                    ties: list[str] | None = None,
-                    rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                    ties: list[str] | None = None) -> DataFrame:
     """All versions numbered from the oldest, each with the value it replaced."""
-    return numbered(df, keys, version, ties or [], "version_no",
-                    {"previous_value": value}, rows_per_slice)
+    return numbered(df, keys, version, ties or [], "version_no", {"previous_value": value})
 
 
 def cascade_delete(tables: dict[str, tuple[DataFrame, str]],

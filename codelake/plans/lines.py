@@ -56,7 +56,7 @@ TOKEN = (r"\s*+(?:[\p{L}_$][\p{L}\p{N}_$]*+|[0-9][\w.]*+|\"'*+|'++|=>|===?|!==?|
 OPEN, CLOSE = "([{", ")]}"
 
 
-def balanced(levels: int = 12) -> str:
+def balanced(levels: int = 64) -> str:
     """Pattern of a bracketed text with brackets nested up to `levels` deep."""
     inner = r"[\[({][^\[\](){}]*+[\])}]"
     for _ in range(levels - 1):

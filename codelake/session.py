@@ -19,7 +19,7 @@ SETTINGS = {
 def build_session(master: str = "local[*]", **extra: str) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     builder = SparkSession.builder.master(master).appName("codelake")
-    local = {"spark.python.sql.dataFrameDebugging.enabled": "false", "spark.driver.memory": "20g",
+    local = {"spark.python.sql.dataFrameDebugging.enabled": "false", "spark.driver.memory": "12g",
              "spark.ui.enabled": "false"}
     for key, value in {**SETTINGS, **local, **extra}.items():
         builder = builder.config(key, value)
@@ -34,11 +34,14 @@ _OWN: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in spark.checkpoint.dir.
 
-    Only where none is named, as in tests, a folder of this process is used.
+    Where none is named, a folder of this process serves a session in one process, as in tests; on
+    a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="codelake-")

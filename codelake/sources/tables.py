@@ -1,16 +1,16 @@
 """Stored tables: a folder of Parquet snapshots per table.
 
-Appends go into the newest complete snapshot. A rewrite of an unpartitioned table writes the next
-snapshot folder beside it, so readers of the old one are not disturbed and a failed rewrite leaves
-nothing visible: only a folder with a _SUCCESS mark counts. A partitioned table is rewritten in
-place, and only in the partitions that hold affected rows.
+Appends go into the newest complete snapshot. A rewrite writes the next snapshot folder beside it,
+so readers of the old one are not disturbed and a failed rewrite leaves nothing visible: only a
+folder with a _SUCCESS mark counts.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,7 +53,22 @@ class TableStore:
         return f"{self.root}/{table}/v{number:08d}"
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.location(table))
+        """The newest snapshot, with the types it was written with: values of partition folders are
+        not guessed anew."""
+        location = self.location(table)
+        reader, note = self.spark.read, self._path(f"{location}/_schema.json")
+        if self._fs().exists(note):
+            text = self.spark._jvm.java.util.Scanner(self._fs().open(note), "UTF-8")
+            reader = reader.schema(T.StructType.fromJson(json.loads(text.useDelimiter("\\A").next())))
+            text.close()
+        return reader.parquet(location)
+
+    def _note_schema(self, location: str, schema: T.StructType) -> None:
+        """Keep the schema beside the files; names with an underscore are no data to Spark."""
+        plain = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+        out = self._fs().create(self._path(f"{location}/_schema.json"), True)
+        out.writeBytes(json.dumps(plain.jsonValue()))
+        out.close()
 
     def _partition_columns(self, table: str) -> list[str]:
         fs, folder, names = self._fs(), self._path(self.location(table)), []
@@ -83,16 +98,18 @@ class TableStore:
             for f in target])
         if sort_by or partition_by:
             rows = rows.sortWithinPartitions(*partition_by, *(sort_by or []))
-        held = self.read(table).count() if there else 0
-        out = rows.write.mode("append")
+        written = Observation()
+        out = rows.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("append")
         if partition_by:
             out = out.partitionBy(*partition_by)
         path = self.location(table) if there else self._next(table)
         out.parquet(path)
-        # Row counts come from the Parquet footers, so the batch is computed once.
-        added = self.spark.read.schema(target).parquet(path).count() - held
-        if not added and not there:
-            self._fs().delete(self._path(path), True)
+        added = written.get["rows"]
+        if not there:
+            if added:
+                self._note_schema(path, target)
+            else:
+                self._fs().delete(self._path(path), True)
         return added
 
     def replace(self, table: str, df: DataFrame, sort_by: list[str] | None = None,
@@ -102,7 +119,9 @@ class TableStore:
         out = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
         if partition_by:
             out = out.partitionBy(*partition_by)
-        out.parquet(self._next(table))
+        path = self._next(table)
+        out.parquet(path)
+        self._note_schema(path, rows.schema)
 
     def delete_where(self, table: str, equals: dict | None = None,
                      delete_all: bool = False) -> int:
@@ -114,19 +133,8 @@ class TableStore:
         removed = df.where(hit).count()
         if not removed:
             return 0
-        parts = self._partition_columns(table)
-        if not parts:
-            self.replace(table, rows_without(df, equals, delete_all))
-            return removed
-        touched = df.where(hit).select(*parts).distinct()
-        kept = df.join(touched, parts, "left_semi").where(~hit)
-        location = self.location(table)
-        emptied = touched.join(kept.select(*parts).distinct(), parts, "left_anti").collect()
-        (kept.select(*df.columns).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(location))
-        for row in emptied:
-            tail = "/".join(f"{p}={row[p]}" for p in parts)
-            self._fs().delete(self._path(f"{location}/{tail}"), True)
+        self.replace(table, rows_without(df, equals, delete_all),
+                     partition_by=self._partition_columns(table))
         return removed
 
     def views(self) -> list[str]:
@@ -166,12 +174,27 @@ def read_rows(df: DataFrame, key: list[str], limit: int = 1000, offset: int = 0,
 
 
 def infer_schema(df: DataFrame, json_column: str) -> DataFrame:
-    """(key, type, rows) for a column of JSON records, from all rows of the column."""
-    records = df.select(F.parse_json(json_column).alias("_record"))
-    fields = records.lateralJoin(
+    """(key, type, row_count) for a column of JSON records, from all rows of the column.
+
+    A key has one type that holds all its values. Records that are no JSON are counted in a row of
+    their own, with no key and type MALFORMED.
+    """
+    records = df.select(F.try_parse_json(json_column).alias("_record"), F.col(json_column).alias("_text"))
+    fields = records.where("_record IS NOT NULL").lateralJoin(
         df.sparkSession.tvf.variant_explode(F.col("_record").outer()))
-    return (fields.groupBy("key", F.schema_of_variant("value").alias("type"))
-            .agg(F.count(F.lit(1)).alias("row_count")))
+    typed = (fields.groupBy("key").agg(F.schema_of_variant_agg("value").alias("type"),
+                                       F.count(F.lit(1)).alias("row_count")))
+    broken = (records.where("_record IS NULL AND _text IS NOT NULL").agg(F.count(F.lit(1)).alias("row_count"))
+              .where("row_count > 0"))
+    return typed.unionByName(broken.select(F.lit(None).cast("string").alias("key"),
+                                           F.lit("MALFORMED").alias("type"), "row_count"))
+
+
+def store_totals(stats: DataFrame) -> DataFrame:
+    """Tables, rows and bytes over all tables of table_stats."""
+    return stats.agg(F.count(F.lit(1)).alias("table_count"),
+                     F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
+                     F.coalesce(F.sum("byte_size"), F.lit(0)).alias("byte_size"))
 
 
 def table_stats(tables: dict[str, DataFrame], skip: tuple[str, ...] = ("metadata",)) -> DataFrame:
@@ -191,15 +214,20 @@ def table_stats(tables: dict[str, DataFrame], skip: tuple[str, ...] = ("metadata
     return reduce(DataFrame.unionByName, parts)
 
 
+#: CSV that reads back as it was: quotes doubled, values over several lines, null unlike empty.
+CSV = {"header": True, "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": False,
+       "ignoreTrailingWhiteSpace": False}
+
+
 def import_rows(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", False).option("escape", '"')
+        reader = reader.options(**CSV).option("multiLine", True)
     return reader.format(fmt).load(path)
 
 
 def export_rows(df: DataFrame, path: str, fmt: str) -> None:
     writer = df.write.mode("errorifexists")
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.options(**CSV)
     writer.format(fmt).save(path)

@@ -38,9 +38,41 @@ def test_index_skips_unchanged_and_replaces_changed(spark, files, tmp_path):
         "content", F.regexp_replace("content", "one", "uno"))
     assert status(second, 3) == {"a.py": "changed", "b.js": "file_not_found",
                                  "c.md": "unsupported_language"}
-    assert {r.name for r in store.read("symbols").collect()} == {"uno", "two"}
+    assert {r.name for r in store.read("symbols").collect()} == {"uno"}
     assert all(store.exists(e) for e in ENTITIES)
-    assert store.read("files").count() == 3
+    assert {r.file_path for r in store.read("files").collect()} == {"a.py"}
+    assert status(first.where("false"), 4) == {}
+
+
+def test_scan_of_real_files_into_the_index(spark, tmp_path):
+    """The documented chain, twice: bad bytes, an empty file, one too large, an edit and a removal."""
+    root, store = tmp_path / "src", TableStore(spark, str(tmp_path / "tables"))
+    (root / "pkg").mkdir(parents=True)
+    (root / "pkg" / "__init__.py").write_text("")
+    (root / "pkg" / "_inner.py").write_text("def inner(): pass\n")
+    (root / "pkg" / "latin.py").write_bytes(b"# caf\xe9\ndef served():\n    pass\n")
+    (root / "pkg" / "one.py").write_text("def one():\n    pass\n")
+    (root / "gone.js").write_text("function gone() {}\n")
+    (root / "big.py").write_text("x = 1\n" * 5000)
+
+    def run(second):
+        scan = I.scan_files(spark, str(root), listing=I.skipped_files(spark, str(root)), max_bytes=20_000)
+        out = index_project(store, scan.withColumn("project_id", F.lit("p")),
+                            indexed_at=F.timestamp_seconds(F.lit(second)))
+        return {r.file_path.split("/src/")[1]: r.status for r in out.collect()}
+
+    assert run(1) == {"pkg/__init__.py": "new", "pkg/_inner.py": "new", "pkg/latin.py": "new",
+                      "pkg/one.py": "new", "gone.js": "new", "big.py": "failed"}
+    assert {r.name for r in store.read("symbols").collect()} == {"served", "one", "gone", "inner"}
+    failed = store.read("files").where("error_message IS NOT NULL").collect()
+    assert [r.byte_size for r in failed] == [30_000] and failed[0].content_hash is None
+    (root / "gone.js").unlink()
+    (root / "pkg" / "one.py").write_text("def uno():\n    pass\n")
+    (root / "big.py").write_text("def small(): pass\n")
+    assert run(2) == {"pkg/__init__.py": "unchanged", "pkg/_inner.py": "unchanged", "pkg/latin.py": "unchanged",
+                      "pkg/one.py": "changed", "gone.js": "file_not_found", "big.py": "changed"}
+    assert {r.name for r in store.read("symbols").collect()} == {"served", "uno", "small", "inner"}
+    assert set(run(3).values()) == {"unchanged"}
 
 
 @pytest.fixture

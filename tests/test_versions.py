@@ -34,18 +34,31 @@ def hot_rows(spark, n=4000):
                                  "key string, at int, id int")
 
 
-def test_history_is_the_same_with_and_without_slices(spark):
-    df = hot_rows(spark)
-    plain = V.version_history(df, ["key"], "at", "id", ["id"])
-    sliced = V.version_history(df, ["key"], "at", "id", ["id"], rows_per_slice=200)
-    assert sliced._jdf.queryExecution().analyzed().toString().count("_slice") > 0
-    assert sorted(map(tuple, plain.collect()), key=str) == sorted(
-        map(tuple, sliced.select(plain.columns).collect()), key=str)
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_history_numbers_a_hot_key_over_many_parts(spark, kind):
+    df = hot_rows(spark).withColumn("at", F.format_string("%05d", "at") if kind == "string" else F.col("at"))
+    got = V.version_history(df, ["key"], "at", "id", ["id"])
+    want, last = [], {}
+    for r in sorted(df.collect(), key=lambda r: (str(r.key), r.at, r.id)):
+        number, before = last.get(r.key, (0, None))
+        last[r.key] = number + 1, r.id
+        want.append((r.key, r.at, r.id, number + 1, before))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert "_part" in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_two_changes_for_a_key(spark):
+    base = spark.createDataFrame([(1, "a", 10)], "id int, name string, at int")
+    changes = spark.createDataFrame([(1, "b", 11), (1, "c", 12), (2, "d", 1)], base.schema)
+    got = V.apply_changes(base, changes, ["id"], version="at")
+    assert sorted(got.collect()) == [(1, "c", 12), (2, "d", 1)]
+    with pytest.raises(Exception, match="several changes for key 1"):
+        V.apply_changes(base, changes, ["id"]).collect()
 
 
 def test_history_with_repeated_values_and_columns_of_the_order(spark):
     df = spark.range(3000).select(F.lit("one").alias("key"), (F.col("id") % 3).alias("at"), "id")
-    got = V.version_history(df, ["key"], "at", "id", ["id"], rows_per_slice=100)
+    got = V.version_history(df, ["key"], "at", "id", ["id"])
     rows = sorted(map(tuple, got.select("version_no", "id", "previous_value").collect()))
     ids = sorted(range(3000), key=lambda i: (i % 3, i))
     assert rows == [(n + 1, i, ids[n - 1] if n else None) for n, i in enumerate(ids)]
@@ -55,7 +68,7 @@ def test_messages_continue_their_session(spark):
     rows = hot_rows(spark, 1500).where("key is not null").select(
         F.col("key").alias("session_id"), F.col("id").alias("turn"))
     old = rows.where("turn < 500").withColumn("sequence_number", F.col("turn").cast("bigint"))
-    got = S.append_messages(old, rows.where("turn >= 500"), "turn", rows_per_slice=100)
+    got = S.append_messages(old, rows.where("turn >= 500"), "turn")
     for r in got.groupBy("session_id").agg(
             F.sort_array(F.collect_list(F.struct("turn", "sequence_number"))).alias("m")).collect():
         top = old.where(F.col("session_id") == r.session_id).agg(
@@ -79,3 +92,15 @@ def test_insert_absent(spark):
     base = spark.createDataFrame([("a", "1")], "key string, value string")
     new = spark.createDataFrame([("a", "2"), ("b", "3")], "key string, value string")
     assert V.insert_absent(base, new, ["key"]).collect() == [("b", "3")]
+
+
+def test_counters_move_with_an_append(spark):
+    day = F.lit("2024-05-01").cast("timestamp")
+    sessions = spark.createDataFrame([("s", "p", 2, 10), ("t", "p", None, None)],
+                                     "session_id string, project_id string, message_count int, token_count long"
+                                     ).withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    new = spark.createDataFrame([("p", "s", "user", 5), ("p", "s", "tool", None)],
+                                "project_id string, session_id string, role string, token_count long")
+    got = {r.session_id: r for r in S.move_counters(sessions, new, day).collect()}
+    assert (got["s"].message_count, got["s"].token_count, got["s"].updated_at.month) == (4, 15, 5)
+    assert (got["t"].message_count, got["t"].updated_at.month) == (0, 1)
