@@ -37,7 +37,7 @@ ship(__name__)
 
 LENGTH = 100  # bytes of a window
 DIGIT = 32  # bytes of the first digit
-CHUNK = 12 << 20  # bytes of text
+CHUNK = 6 << 20  # bytes of text
 BLOCK = 1 << 20  # bytes that are hashed at once
 RUN = 8  # neighbouring windows of one anchor that digit 3 takes together
 FIRST, STRETCH, CORE, WINDOW = 1, 2, 3, 4  # kinds of requests: the digits
