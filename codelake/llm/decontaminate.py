@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import fresh, rows_of, ship, table
+from codelake.llm.common import fresh, rows_of, ship, sliced, table
 
 ship(__name__)
 
@@ -143,6 +144,36 @@ def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(begin[end]), end
 
 
+class Runs:
+    """The runs of q words of all items, each with the sizes of the items that have it."""
+
+    def __init__(self, own: list[np.ndarray], sizes: np.ndarray):
+        pairs = np.unique(np.stack([np.concatenate(own), np.repeat(sizes, [len(x) for x in own]).astype(np.uint64)], 1),
+                          axis=0)
+        self.codes, first = np.unique(pairs[:, 0], return_index=True)
+        self.sizes = np.split(pairs[:, 1].astype(np.int64), first[1:])
+        bits = 1 << 16
+        while bits < 32 * len(self.codes):
+            bits *= 2
+        self.bloom = np.zeros(bits, bool)
+        self.bloom[self.codes % np.uint64(bits)] = True
+        self.with_size = {int(n): np.array([n in own for own in self.sizes]) for n in np.unique(sizes)}
+
+    def look_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of codes that are runs of items, and which ones."""
+        at = np.flatnonzero((codes > 0) & self.bloom[codes % np.uint64(len(self.bloom))])
+        run = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
+        true = self.codes[run] == codes[at]
+        return at[true], run[true]
+
+    def enough(self, at: np.ndarray, run: np.ndarray, n: int, q: int, last: int) -> np.ndarray:
+        """For every window of n words (`last` of them) whether it has enough runs of items of that size."""
+        before = np.zeros(last + n - q + 1, np.int32)
+        before[at[self.with_size[n][run]] + 1] = 1
+        np.cumsum(before, out=before)
+        return before[n - q + 1:] - before[:last] >= shared(n, q)
+
+
 class Searcher:
     """Finds the items of one block in documents."""
 
@@ -157,30 +188,24 @@ class Searcher:
         order = np.argsort(keys, axis=1, kind="stable")
         self.keys = [(k[o], o) for k, o in zip(keys, order, strict=True)]
         self.runs = {q: [np.unique(runs(x, q)) for x in self.items] for q in (2, 3)}
-        self.known = {}
-        for q in (2, 3):  # a Bloom filter with one hash
-            self.known[q] = np.zeros(1 << 24, bool)
-            for x in self.runs[q]:
-                self.known[q][x % np.uint64(1 << 24)] = True
+        self.known = {q: Runs(own, sizes) for q, own in self.runs.items()}
 
     def candidates(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(start, item) pairs whose window shares a key; ends: for each word, where its text ends."""
-        before, places = {}, {}
-        for q, bits in self.known.items():
-            own = runs(ids, q)
-            known = (own > 0) & bits[own % np.uint64(len(bits))]
-            before[q] = np.concatenate([[0], np.cumsum(known)])
-            at = np.flatnonzero(known)
-            order = np.argsort(own[at], kind="stable")
-            places[q] = own[at][order], at[order]
+        places, found_in = {}, {}
+        for q, known in self.known.items():
+            codes = runs(ids, q)
+            at, run = known.look_up(codes)
+            order = np.argsort(codes[at], kind="stable")
+            places[q], found_in[q] = (codes[at][order], at[order]), (at, run)
         starts, sizes = [], []
         for n in self.sizes.tolist():
             last = len(ids) - n + 1
             if last > 0:
                 ok = ends[:last] - np.arange(last) >= n
-                for q, sums in before.items():
-                    if n >= q:
-                        ok &= sums[n - q + 1:][:last] - sums[:last] >= shared(n, q)
+                for q, (at, run) in found_in.items():
+                    if n >= q and shared(n, q) > 0:
+                        ok &= self.known[q].enough(at, run, n, q, last)
                 starts.append(np.flatnonzero(ok))
                 sizes.append(np.full(len(starts[-1]), n))
         found = [np.zeros(0, np.int64)]
@@ -221,7 +246,7 @@ class Searcher:
         size = 0
         get = self.vocabulary.get
         for row, text in enumerate(texts):
-            ids = np.fromiter((get(w, 0) for w in words_of(text)), np.int64)
+            ids = np.array(list(map(get, words_of(text), repeat(0))), np.int64)
             if len(ids):
                 held.append((row, ids))
                 size += len(ids)
@@ -284,7 +309,7 @@ def contaminated(docs: DataFrame, items: DataFrame, recall: float = RECALL, item
 
     def finder(search: Searcher) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 found = search.matches(rows_of(batch, "text"))
                 rows = [i for i, x in enumerate(found) for _ in x]
                 flat = [m for x in found for m in x]
@@ -309,7 +334,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, recall: float = RECALL,
 
     def keeper(search: Searcher) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 clean = pa.array([not m for m in search.matches(rows_of(batch, text))], pa.bool_())
                 yield batch.select(range(batch.num_columns - 1)).filter(clean)
         return run

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from codelake.llm.common import fresh, remainder, rows_of, ship, stored, table, text_bytes
+from codelake.llm.common import fresh, remainder, rows_of, ship, sliced, stored, table, text_bytes
 
 ship(__name__)
 
@@ -63,7 +63,7 @@ def features_of(docs: DataFrame, keep: list[str], text_column: str) -> DataFrame
     slim = docs.select(*keep, text_bytes(text_column).alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             stats = [statistics_of(t).astype(np.float32) for t in rows_of(batch, text)]
             vectors = pa.array(stats, pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), vectors],
@@ -218,7 +218,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_column: str = "text") ->
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 stats = np.stack([statistics_of(t) for t in rows_of(batch, text)])
                 stats = stats.astype(np.float32).astype(float)

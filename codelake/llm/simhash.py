@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import fresh, rows_of, ship, stored, table, text_bytes
+from codelake.llm.common import fresh, rows_of, ship, sliced, stored, table, text_bytes
 from codelake.llm.components import components
 
 ship(__name__)
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text",
     schema = slim.drop(text).schema.add(fp, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             values = [fingerprint(t, width) for t in rows_of(batch, text)]
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.int64())],
