@@ -35,7 +35,7 @@ RADIUS = 3
 TILE = 4096
 
 
-def fingerprint(text: bytes, width: int, block: int = 1 << 17) -> int:
+def fingerprint(text: bytes, width: int, block: int = 1 << 17, seed: int = 42) -> int:
     """Bits set in over half the XXH64 of the shingles, as a signed number."""
     words = text.lower().split()
     if not words:
@@ -46,7 +46,7 @@ def fingerprint(text: bytes, width: int, block: int = 1 << 17) -> int:
         some = words[start:start + block + width - 1]
         shingles = (zip(*(some[i:] for i in range(width)), strict=False) if len(words) >= width
                     else [some])
-        values = np.fromiter((hashed(b" ".join(s), 42) for s in shingles), np.uint64)
+        values = np.fromiter((hashed(b" ".join(s), seed) for s in shingles), np.uint64)
         bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1,
                              bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
@@ -55,20 +55,23 @@ def fingerprint(text: bytes, width: int, block: int = 1 << 17) -> int:
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text",
-                 width: int = 3) -> DataFrame:
-    """The columns of keep and fp, the fingerprint as a signed long."""
-    text, fp = fresh(docs, "_text", "fp")
+                 width: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """The columns of keep and fp, the fingerprint as a signed long; for several seeds f0, f1, ..."""
+    text, = fresh(docs, "_text")
     slim = docs.select(*keep, text_bytes(text_column).alias(text))
-    schema = slim.drop(text).schema.add(fp, "long")
+    names = ["fp"] if len(seeds) == 1 else [f"f{i}" for i in range(len(seeds))]
+    schema = slim.drop(text).schema
+    for name in names:
+        schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            values = [fingerprint(t, width) for t in rows_of(batch, text)]
+            texts = rows_of(batch, text)
+            values = [pa.array([fingerprint(t, width, seed=s) for t in texts], pa.int64()) for s in seeds]
             columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.int64())],
-                                             names=[*keep, fp])
+            yield pa.RecordBatch.from_arrays([*columns, *values], names=[*keep, *names])
 
-    return slim.mapInArrow(run, schema).withColumnRenamed(fp, "fp")
+    return slim.mapInArrow(run, schema)
 
 
 def _pairs_to(syndrome: int) -> list[tuple[int, int]]:
@@ -226,27 +229,6 @@ def hex_of(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0")).alias("fingerprint")
 
 
-def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                     width: int = 5) -> DataFrame:
-    """docs with one document of each group of near copies: the one with the smallest id (nulls
-    last), of equal ids the one whose text hash is least."""
-    own, group, mine = fresh(docs, "_key", "_group", "_mine")
-    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
-                   F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text"))
-    keyed = docs.select(key.alias("key"), F.col(text_column).alias("text"))
-    fps = stored(fingerprints(keyed, ["key"], "text", width), "doc-fingerprints")
-    by_fp = stored(labelled(fps.groupBy("fp").agg(F.min("key").alias("first"))), "labelled")
-    stay = by_fp.groupBy("root").agg(F.min("first").alias("first"))
-    best = by_fp.join(stay.withColumnRenamed("first", "best"), "root").select("fp", "best")
-    lost = fps.join(best, "fp").where("key <> best")
-    lost = stored(lost.select(*(F.col(f"key.{k}").alias(f"_lost_{k}") for k in ("none", "id", "text")))
-                  .distinct(), "lost")
-    keyed = docs.withColumn(own, key)
-    return keyed.join(lost, (keyed[own]["none"] == F.col("_lost_none"))
-                      & keyed[own]["id"].eqNullSafe(F.col("_lost_id"))
-                      & (keyed[own]["text"] == F.col("_lost_text")), "left_anti").select(docs.columns)
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -1,0 +1,175 @@
+"""Near copies by similarity, with a wide SimHash and anchor points.
+
+Two texts whose shingles overlap by a share J differ in about acos(2J / (1 + J)) / pi of the bits of
+a SimHash. With four fingerprints of 64 bits by four hash seeds, a share of 0.8 is about 39 bits of
+256, too many for halves as in simhash.py. Here the 256 bits are sixteen words of 16 bits, each with
+the anchors of a Hamming code of 15 bits and one free bit. Of a pair at the limit a word differs in
+at most one bit with a chance of 0.28, so some word does with 0.99; at 0.9 it is nearly certain. One of the
+pair then visits the anchor where the other is at home, and there all 256 bits are compared. As in
+simhash.py an anchor passes on a spanning forest only, and crowded anchors are cut into tiles.
+
+Anchors are 65,536 in all, so what is compared at one grows with the corpus: about a millionth of all
+pairs for each word. Larger corpora take longer words (CODE_BITS), whose anchors are more.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from codelake.llm.common import fresh, ship, stored
+from codelake.llm.components import components
+from codelake.llm.simhash import TILE, fingerprints
+
+ship(__name__)
+
+SEEDS = (42, 43, 44, 45)
+CODE_BITS = 15  # of a Hamming code; one more bit is free
+DIFFERING = 42  # bits of 256 in which near copies differ at most: similarity 0.8 and a little slack
+PARTS = [f"f{i}" for i in range(len(SEEDS))]
+
+
+def _anchors(word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows, anchor, whether it is home) for words of CODE_BITS + 1 bits."""
+    code, free = word & ((1 << CODE_BITS) - 1), word & (1 << CODE_BITS)
+    syndrome = np.zeros(len(word), np.int64)
+    for place in range(1, CODE_BITS + 1):
+        syndrome ^= np.where(code >> (place - 1) & 1, place, 0)
+    near = np.where(syndrome > 0, code ^ (1 << np.maximum(syndrome - 1, 0)), code)
+    every = np.arange(len(word))
+    yield every, near | free, True
+    yield every, near | (free ^ (1 << CODE_BITS)), False
+    for s in range(1, CODE_BITS + 1):
+        rows = np.flatnonzero(syndrome == s)
+        for a in range(1, CODE_BITS + 1):
+            b = a ^ s
+            if a < b <= CODE_BITS and len(rows):
+                yield rows, (code[rows] ^ (1 << (a - 1)) ^ (1 << (b - 1))) | free[rows], False
+
+
+def _columns(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False).view(np.uint64)
+                     for n in names], 1)
+
+
+def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size = CODE_BITS + 1
+    for whole in batches:
+        for start in range(0, whole.num_rows, 2048):
+            batch = whole.slice(start, 2048)
+            fps = _columns(batch, PARTS)
+            for k in range(len(SEEDS) * 64 // size):
+                part, shift = divmod(k * size, 64)
+                word = (fps[:, part] >> np.uint64(shift) & np.uint64((1 << size) - 1)).astype(np.int64)
+                found = list(_anchors(word))
+                rows = np.concatenate([r for r, _, _ in found])
+                taken = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([a for _, a, _ in found]) | k << size + 1),
+                    pa.array(np.concatenate([np.full(len(r), h) for r, _, h in found])), *taken.columns],
+                    names=["anchor", "home", *batch.schema.names])
+
+
+def _apart(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one ^ others).sum(axis=-1, dtype=np.int64)
+
+
+def _forest(fps: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows within DIFFERING bits, one of them at home, that span the groups at an anchor."""
+    order = np.argsort(~home, kind="stable")
+    fps, homes = fps[order], int(home.sum())
+    free, out = np.ones(len(fps), bool), []
+    for seed in range(homes):
+        if not free[seed]:
+            continue
+        free[seed], todo = False, [seed]
+        while todo:
+            at = todo.pop()
+            rest = np.flatnonzero(free[:len(fps) if at < homes else homes])
+            new = rest[_apart(fps[at], fps[rest]) <= DIFFERING]
+            free[new] = False
+            todo.extend(new.tolist())
+            out.extend((int(order[at]), int(order[i])) for i in new.tolist())
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by anchor and tile; each run of equal ones is compared."""
+    def links(part: list[np.ndarray]) -> pa.RecordBatch:
+        key, home, node, fps = part
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        found: list[tuple[int, int]] = []
+        for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            if e - s > 1 and home[s:e].any():
+                found += [(node[s + a], node[s + b]) for a, b in _forest(fps[s:e], home[s:e])]
+        a, b = ([x[k] for x in found] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, tile, home, node = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                                    for c in ("anchor", "tile", "home", "node"))
+        part = [anchor * 1_000_003 + tile, home, node, _columns(batch, PARTS)]
+        held.append(part)
+        if held[0][0][0] == part[0][-1]:
+            continue  # still inside one run
+        joined = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = len(joined[0]) - int(np.argmax((joined[0] != joined[0][-1])[::-1]))
+        yield links([x[:cut] for x in joined])
+        held = [[x[cut:] for x in joined]]
+    if held:
+        yield links([np.concatenate(x) for x in zip(*held, strict=True)])
+
+
+def similar_links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of distinct fingerprints (node, f0, f1, ...)."""
+    columns = ", ".join(f"{c} long" for c in ("node", *PARTS))
+    visits = distinct.select("node", *PARTS).mapInArrow(_visits, f"anchor long, home boolean, {columns}")
+    crowded = stored(visits.where("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+                     .where(F.col("n") > TILE)
+                     .select("anchor", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "crowded-anchors")
+    if crowded.isEmpty():
+        tiled = visits.withColumn("tile", F.lit(0))
+    else:
+        tiles = F.coalesce("tiles", F.lit(1))
+        own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+        # Homes stand in one tile and visit the others; visitors go to all.
+        tiled = visits.join(crowded, "anchor", "left").withColumn("own", own).withColumn(
+            "tile", F.explode(F.sequence(F.lit(0), tiles - 1))).withColumn(
+            "home", F.col("home") & (F.col("tile") == F.col("own")))
+    return (tiled.select("anchor", "tile", "home", "node", *PARTS).repartition("anchor", "tile")
+            .sortWithinPartitions("anchor", "tile").mapInArrow(_compare, "a long, b long"))
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                     width: int = 5) -> DataFrame:
+    """docs with one document of each group of near copies: the one with the smallest id (nulls
+    last), of equal ids the one whose text hash is least.
+
+    A null text counts as empty; texts without words are copies of each other. Rows that share id
+    and text stay or go together. An empty table gives an empty result."""
+    own, = fresh(docs, "_key")
+    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
+                   F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text"))
+    keyed = docs.select(key.alias("key"), F.col(text_column).alias("text"))
+    fps = stored(fingerprints(keyed, ["key"], "text", width, SEEDS)
+                 .withColumn("node", F.xxhash64(*PARTS)), "wide-fingerprints")
+    firsts = stored(fps.groupBy("node", *PARTS).agg(F.min("key").alias("first")), "distinct-fingerprints")
+    roots = stored(components(similar_links(firsts)), "roots").withColumnRenamed("node", "_node")
+    by_node = stored(firsts.join(roots, firsts.node == F.col("_node"), "left")
+                     .select("node", "first", F.coalesce("root", "node").alias("root")), "labelled")
+    stay = by_node.groupBy("root").agg(F.min("first").alias("best"))
+    best = by_node.join(stay, "root").select("node", "best")
+    lost = fps.join(best, "node").where("key <> best")
+    lost = stored(lost.select(*(F.col(f"key.{k}").alias(f"_lost_{k}") for k in ("none", "id", "text")))
+                  .distinct(), "lost")
+    rows = docs.withColumn(own, key)
+    return rows.join(lost, (rows[own]["none"] == F.col("_lost_none"))
+                     & rows[own]["id"].eqNullSafe(F.col("_lost_id"))
+                     & (rows[own]["text"] == F.col("_lost_text")), "left_anti").select(docs.columns)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelake.llm import decontaminate, exact, mixing, quality, simhash
+from codelake.llm import decontaminate, exact, mixing, quality, wide_simhash
 from codelake.llm.common import stored, table
 
 
@@ -27,7 +27,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.drop_near_copies(docs)
+    return wide_simhash.drop_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import sys
 import pytest
 
 from codelake.llm import decontaminate, quality
+from codelake.llm import wide_simhash as wide
 from codelake.llm.common import table
 from tests_llm_helpers import linked_groups
 
@@ -49,7 +50,8 @@ def test_exact_stage(steps):
 
 def test_near_stage(steps):
     before, after = steps[2]
-    assert ids(after) == sorted(min(g) for g in linked_groups([(r.doc_id, r.text) for r in before], 5))
+    groups = linked_groups([(r.doc_id, r.text) for r in before], 5, wide.SEEDS, wide.DIFFERING)
+    assert ids(after) == sorted(min(before[i].doc_id for i in g) for g in groups)
 
 
 def test_benchmark_stage(spark, steps):

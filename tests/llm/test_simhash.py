@@ -53,9 +53,6 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, fp int")
     assert got(simhash.near_duplicates(df)) == brute(rows)
     assert simhash.near_duplicates(df.where("false")).count() == 0
-    kept = simhash.drop_near_copies(df)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6]
 
 
 @pytest.mark.parametrize("tile", [4096, 3])

@@ -1,0 +1,44 @@
+import numpy as np
+import pytest
+
+from codelake.llm import wide_simhash as wide
+from tests_llm_helpers import linked_groups
+
+
+def texts():
+    rng = np.random.default_rng(8)
+    names = [f"w{i}" for i in range(500)]
+    rows = []
+    for i in range(50):
+        body = list(rng.choice(names, int(rng.integers(30, 200))))
+        rows.append((10 * i, " ".join(body)))
+        for k in range(1, int(rng.integers(1, 6))):
+            for _ in range(k):
+                body[int(rng.integers(len(body)))] = str(rng.choice(names))
+            rows.append((10 * i + k, " ".join(body)))
+    return rows
+
+
+@pytest.mark.parametrize("tile", [4096, 2])
+def test_against_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(wide, "TILE", tile)
+    rows = texts()
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, node int, f0 int")
+    kept = wide.drop_near_copies(df)
+    assert kept.columns == df.columns
+    groups = linked_groups(rows, 5, wide.SEEDS, wide.DIFFERING)
+    assert 50 <= len(groups) < len(rows)
+    got = {r.doc_id for r in kept.collect()}
+    want = {min(rows[i][0] for i in g) for g in groups}
+    # An anchor is missed with a chance of less than a hundredth; then one document more stays.
+    assert want <= got and len(got - want) <= 0.02 * len(rows)
+
+
+def test_edge_rows(spark):
+    long = "x y z " * 30_000
+    rows = [(1, None), (2, ""), (3, "One two"), (3, "ONE two"), (None, " \t"), (5, long), (6, "a b c d"), (7, None),
+            (8, long + "q"), (9, "a b c d"), (9, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(str(r.doc_id) for r in wide.drop_near_copies(df).collect())
+    assert kept == ["1", "3", "5", "6"]
+    assert wide.drop_near_copies(df.where("false")).count() == 0
