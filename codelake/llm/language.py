@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from codelake.llm.common import rows_of, ship, stored, table, text_bytes
+from codelake.llm.common import rows_of, ship, sliced, stored, table, text_bytes
 
 ship(__name__)
 
@@ -55,7 +55,7 @@ def trigram_counts(docs: DataFrame, text_column: str = "text", lang_column: str
     """(lang, bucket, n) over labelled documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches, 500):
             for lang, text in zip(rows_of(batch, "lang"), rows_of(batch, "text"), strict=True):
                 own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 own += np.bincount(trigrams(text), minlength=BUCKETS)
@@ -88,7 +88,7 @@ def page_texts(pages: DataFrame, logs: np.ndarray, markup_column: str, keep: lis
     slim = pages.select(*keep, text_bytes(markup_column).alias("_markup"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 500):
             declared, sizes, posts = [], [], []
             for markup in rows_of(batch, "_markup"):
                 said = DECLARED.search(markup)
@@ -165,7 +165,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_column: str = "page_id", url_
         joined = joined.join(sums, F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             def arrays(name: str) -> np.ndarray:
                 return np.array([x or [0.0] * k for x in rows_of(batch, name)]).reshape(-1, k)
 
