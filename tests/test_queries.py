@@ -21,7 +21,8 @@ def db():
 
 def test_every_expected_text_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"t7_table_bytes", "p6_approx_distinct"}
+    ours = {q for q in QUERIES if not q.startswith("op") and q != "pipeline"}
+    assert ours - set(SQL) == {"t7_table_bytes", "p6_approx_distinct"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
