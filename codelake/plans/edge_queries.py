@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codelake import feeds
+from codelake.operators import projects as P
 from codelake.operators import sessions as S
 from codelake.operators import versions as V
 from codelake.plans.registered import TABLES, load
@@ -115,10 +116,42 @@ def p6_approximate_is_close(spark, sf):
     return row.select((F.abs(F.col("near") - F.col("exact")) <= F.col("exact") * 0.1).alias("close"), "exact")
 
 
+def r1_update_project(spark, sf):
+    """One project moved to another branch, one created: the newest row of every name."""
+    rows = feeds.projects(load(spark, sf, "part"))
+    later = F.timestamp_seconds(F.lit(1704200000))
+    moved = P.update_project(rows, "name-2", later, git_branch="dev", git_commit="c9")
+    made = P.create_project(rows, "proj-new", "fresh", "/new", later, git_branch="main")
+    return P.newest_projects(rows.unionByName(moved).unionByName(made)).select(
+        "project_id", "project_name", "git_branch", "git_commit")
+
+
+def r2_files_of_project(spark, sf):
+    """Files of a project by its name, and of a name that is unknown."""
+    part = load(spark, sf, "part")
+    names = [P.of_project(feeds.corpus(part), feeds.projects(part), n).withColumn("asked", F.lit(n))
+             for n in ("name-1", "nobody")]
+    return names[0].unionByName(names[1]).select("asked", "project_id", "file_path")
+
+
+def r3_delete_project(spark, sf):
+    """Rows that a deletion removes from each stored table, and rows that stay."""
+    part = load(spark, sf, "part")
+    store = T.TableStore(spark, new_folder(spark, "r3"))
+    store.append("projects", feeds.projects(part))
+    store.append("files", feeds.corpus(part), partition_by=["project_id"])
+    store.append("regions", load(spark, sf, "region"))
+    removed = P.delete_project(store, "proj-1")
+    rows = [store.read(n).agg(F.count(F.lit(1)).alias("stay")).select(
+        F.lit(n).alias("table_name"), F.lit(removed.get(n, 0)).cast("bigint").alias("removed"), "stay")
+        for n in ("projects", "files", "regions")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 QUERIES = {f.__name__: f for f in (
     i1_scan_contents, i4_diff_with_errors, t2_mixed_types, t3_odd_partitions, t5_csv_texts, t7_store_totals,
     t7_tables_have_bytes, v2_newest_change, v3_history_of_text_order, v4_cascade_survivors, s2_rollup_times,
-    p6_approximate_is_close)}
+    p6_approximate_is_close, r1_update_project, r2_files_of_project, r3_delete_project)}
 
 SQL = {
     "i1_scan_contents": """
@@ -158,4 +191,18 @@ SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(conv_id % 5 AS VARCHAR) AS p
        count(*) AS message_count, min(turn) AS first_at, max(turn) AS last_at
 FROM conversations GROUP BY conv_id""",
     "p6_approximate_is_close": "SELECT true AS close, count(DISTINCT l_orderkey) AS exact FROM lineitem",
+    "r1_update_project": """
+SELECT DISTINCT 'proj-' || (p_partkey // 30) AS project_id, 'name-' || (p_partkey // 30) AS project_name,
+       CASE p_partkey // 30 WHEN 2 THEN 'dev' ELSE 'main' END AS git_branch,
+       CASE p_partkey // 30 WHEN 2 THEN 'c9' ELSE 'c3' END AS git_commit FROM part
+UNION ALL SELECT 'proj-new', 'fresh', 'main', NULL""",
+    "r2_files_of_project": """
+SELECT 'name-1' AS asked, 'proj-1' AS project_id,
+       'src/m' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.js' ELSE '.ts' END AS file_path
+FROM part WHERE p_partkey // 30 = 1""",
+    "r3_delete_project": """
+WITH p AS (SELECT p_partkey // 30 AS n FROM part), d AS (SELECT DISTINCT n FROM p)
+SELECT 'projects' AS table_name, 3 * count(*) FILTER (n = 1) AS removed, 3 * count(*) FILTER (n <> 1) AS stay FROM d
+UNION ALL SELECT 'files', count(*) FILTER (n = 1), count(*) FILTER (n <> 1) FROM p
+UNION ALL SELECT 'regions', 0, count(*) FROM region""",
 }
