@@ -116,11 +116,22 @@ def address_parts(url: Column) -> tuple[Column, Column, Column]:
     return host, F.when(domain != "", domain), F.when(suffix != "", suffix)
 
 
-def _sums(rows: DataFrame, key: str, k: int, name: str) -> DataFrame:
-    """Text posteriors summed for each value of key."""
-    each = [F.sum(F.element_at("likely", i + 1)) for i in range(k)]
-    return (rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_{key}"))
-            .agg(F.array(*each).alias(name)))
+def _sums(rows: DataFrame, keys: list[str], of: str, k: int, name: str) -> DataFrame:
+    """An array of k numbers summed for each value of the keys."""
+    each = [F.sum(F.element_at(of, i + 1)) for i in range(k)]
+    return rows.groupBy(*keys).agg(F.array(*each).alias(name))
+
+
+def host_sums(rows: DataFrame, k: int) -> DataFrame:
+    """Text posteriors summed for each host, with the sums of its domain and its suffix. Those are sums
+    over hosts, so the pages are grouped once."""
+    hosts = stored(_sums(rows.where("host IS NOT NULL"), ["host", "domain", "suffix"], "likely", k, "host_sums"),
+                   "host-sums")
+    out = hosts
+    for level in ("domain", "suffix"):
+        sums = _sums(hosts.where(F.col(level).isNotNull()), [level], "host_sums", k, f"{level}_sums")
+        out = out.join(sums.withColumnRenamed(level, f"_{level}"), F.col(level) == F.col(f"_{level}"), "left")
+    return stored(out.select(F.col("host").alias("_host"), "host_sums", "domain_sums", "suffix_sums"), "host-priors")
 
 
 LEVELS = ("suffix", "domain", "host")  # each leans on the one before
@@ -159,10 +170,10 @@ def identify(pages: DataFrame, docs: DataFrame, id_column: str = "page_id", url_
     rows = stored(page_texts(slim, logs, "_html", ["page_id", "host", "domain", "suffix"]), "pages")
     base = np.array([x or 0.0 for x in rows.agg(
         *(F.sum(F.element_at("likely", i + 1)) for i in range(k))).first()])
-    joined = rows
-    for key in (*LEVELS, "declared"):
-        sums = stored(_sums(rows, key, k, f"{key}_sums"), f"{key}-sums")
-        joined = joined.join(sums, F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
+    said = stored(_sums(rows.where("declared IS NOT NULL"), [F.col("declared").alias("_declared")], "likely", k,
+                        "declared_sums"), "declared-sums")
+    joined = (rows.join(host_sums(rows, k), F.col("host") == F.col("_host"), "left")
+              .join(said, F.col("declared") == F.col("_declared"), "left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2000):
