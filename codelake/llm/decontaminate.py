@@ -38,7 +38,7 @@ SAMPLED = 3  # positions of a walk in a key
 RECALL = 0.98  # per matching window at the limit of edits
 BLOCK_WORDS = 500_000  # words of the items that one pass holds
 TRIAL_ITEMS = 64  # items on which the collision rate is measured
-CHUNK = 1 << 20  # words of documents that are searched at once
+CHUNK = 1 << 19  # words of documents that are searched at once
 SEED = 4
 
 
