@@ -32,7 +32,7 @@ from codelake.llm.common import remainder, ship, stored, table, text_bytes
 
 ship(__name__)
 
-CHUNK = 8 << 20  # bytes of text
+CHUNK = 10 << 20  # bytes of text
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 BUCKETS = 24  # of context frequency
 STEP = 4  # grid cells for a factor of two
