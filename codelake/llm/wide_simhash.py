@@ -8,20 +8,28 @@ at most one bit with a chance of 0.28, so some word does with 0.99; at 0.9 it is
 pair then visits the anchor where the other is at home, and there all 256 bits are compared. As in
 simhash.py an anchor passes on a spanning forest only, and crowded anchors are cut into tiles.
 
+The bits only estimate the share. drop_copies_by_share takes them as proposals, up to PROPOSED bits, and links
+two texts when the Jaccard share of their sets of shingles, counted exactly, reaches the limit. A text stands for
+all texts with the same set; its bits come from the set, so a line repeated many times weighs as one. A row at home
+proposes its nearest rows first and more in later rounds, and only to rows that no link has joined to it yet, so a
+large group of copies gives few pairs, and a pair is left out only when its two texts are already in one group.
+
 Anchors are 65,536 in all, so what is compared at one grows with the corpus: about a millionth of all
 pairs for each word. Larger corpora take longer words (CODE_BITS), whose anchors are more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm.common import fresh, ship, stored
+from codelake.llm.common import fresh, rows_of, ship, sliced, stored, text_bytes
 from codelake.llm.components import components
 from codelake.llm.simhash import TILE, fingerprints
 
@@ -30,6 +38,8 @@ ship(__name__)
 SEEDS = (42, 43, 44, 45)
 CODE_BITS = 15  # of a Hamming code; one more bit is free
 DIFFERING = 42  # bits of 256 in which near copies differ at most: similarity 0.8 and a little slack
+PROPOSED = 55  # bits within which a pair is compared exactly: at a share of 0.8 all but about 3 in 1000 pairs
+NEAREST = 4  # pairs that a row at home proposes at an anchor in the first round
 PARTS = [f"f{i}" for i in range(len(SEEDS))]
 
 
@@ -97,25 +107,27 @@ def _forest(fps: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor and tile; each run of equal ones is compared."""
-    def links(part: list[np.ndarray]) -> pa.RecordBatch:
-        key, home, node, fps = part
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        found: list[tuple[int, int]] = []
-        for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
-            if e - s > 1 and home[s:e].any():
-                found += [(node[s + a], node[s + b]) for a, b in _forest(fps[s:e], home[s:e])]
-        a, b = ([x[k] for x in found] for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _links(part: list[np.ndarray]) -> pa.RecordBatch:
+    key, home, node, fps = part
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    found: list[tuple[int, int]] = []
+    for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
+        if e - s > 1 and home[s:e].any():
+            found += [(node[s + a], node[s + b]) for a, b in _forest(fps[s:e], home[s:e])]
+    a, b = ([x[k] for x in found] for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
 
+def _compare(batches: Iterator[pa.RecordBatch], links: Callable = _links,
+             names: tuple[str, ...] = ("home", "node")) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by anchor and tile; each run of equal ones is compared."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchor, tile, home, node = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-                                    for c in ("anchor", "tile", "home", "node"))
-        part = [anchor * 1_000_003 + tile, home, node, _columns(batch, PARTS)]
+        anchor, tile, *others = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                                 for c in ("anchor", "tile", *names))
+        part = [anchor * 1_000_003 + tile, *others, _columns(batch, PARTS)]
         held.append(part)
         if held[0][0][0] == part[0][-1]:
             continue  # still inside one run
@@ -127,10 +139,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
-def similar_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between the nodes of distinct fingerprints (node, f0, f1, ...)."""
-    columns = ", ".join(f"{c} long" for c in ("node", *PARTS))
-    visits = distinct.select("node", *PARTS).mapInArrow(_visits, f"anchor long, home boolean, {columns}")
+def _tiled(visits: DataFrame) -> DataFrame:
+    """Visits in order of anchor and tile; crowded anchors are cut into tiles."""
     crowded = stored(visits.where("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
                      .where(F.col("n") > TILE)
                      .select("anchor", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "crowded-anchors")
@@ -143,8 +153,15 @@ def similar_links(distinct: DataFrame) -> DataFrame:
         tiled = visits.join(crowded, "anchor", "left").withColumn("own", own).withColumn(
             "tile", F.explode(F.sequence(F.lit(0), tiles - 1))).withColumn(
             "home", F.col("home") & (F.col("tile") == F.col("own")))
-    return (tiled.select("anchor", "tile", "home", "node", *PARTS).repartition("anchor", "tile")
-            .sortWithinPartitions("anchor", "tile").mapInArrow(_compare, "a long, b long"))
+    return tiled.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile")
+
+
+def similar_links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of distinct fingerprints (node, f0, f1, ...)."""
+    columns = ", ".join(f"{c} long" for c in ("node", *PARTS))
+    visits = distinct.select("node", *PARTS).mapInArrow(_visits, f"anchor long, home boolean, {columns}")
+    return (_tiled(visits).select("anchor", "tile", "home", "node", *PARTS)
+            .mapInArrow(lambda batches: _compare(batches), "a long, b long"))
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -155,13 +172,27 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     A null text counts as empty; texts without words are copies of each other. Rows that share id
     and text stay or go together. An empty table gives an empty result."""
     own, = fresh(docs, "_key")
-    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
-                   F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text"))
+    key = _key(id_column, text_column)
     keyed = docs.select(key.alias("key"), F.col(text_column).alias("text"))
     fps = stored(fingerprints(keyed, ["key"], "text", width, SEEDS)
                  .withColumn("node", F.xxhash64(*PARTS)), "wide-fingerprints")
     firsts = stored(fps.groupBy("node", *PARTS).agg(F.min("key").alias("first")), "distinct-fingerprints")
-    roots = stored(components(similar_links(firsts)), "roots").withColumnRenamed("node", "_node")
+    return _without_later(docs.withColumn(own, key), own, fps, firsts, similar_links(firsts)).select(docs.columns)
+
+
+def _key(id_column: str, text_column: str) -> Column:
+    return F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
+                    F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text"))
+
+
+def _same(own: Column, prefix: str) -> Column:
+    return ((own["none"] == F.col(f"{prefix}none")) & own["id"].eqNullSafe(F.col(f"{prefix}id"))
+            & (own["text"] == F.col(f"{prefix}text")))
+
+
+def _without_later(rows: DataFrame, own: str, fps: DataFrame, firsts: DataFrame, links: DataFrame) -> DataFrame:
+    """rows without those whose key is not the least of its group."""
+    roots = stored(components(links), "roots").withColumnRenamed("node", "_node")
     by_node = stored(firsts.join(roots, firsts.node == F.col("_node"), "left")
                      .select("node", "first", F.coalesce("root", "node").alias("root")), "labelled")
     stay = by_node.groupBy("root").agg(F.min("first").alias("best"))
@@ -169,7 +200,134 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     lost = fps.join(best, "node").where("key <> best")
     lost = stored(lost.select(*(F.col(f"key.{k}").alias(f"_lost_{k}") for k in ("none", "id", "text")))
                   .distinct(), "lost")
-    rows = docs.withColumn(own, key)
-    return rows.join(lost, (rows[own]["none"] == F.col("_lost_none"))
-                     & rows[own]["id"].eqNullSafe(F.col("_lost_id"))
-                     & (rows[own]["text"] == F.col("_lost_text")), "left_anti").select(docs.columns)
+    return rows.join(lost, _same(rows[own], "_lost_"), "left_anti")
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct XXH64 of the shingles, in order; a shorter text is one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s)) for s in shingles), np.uint64))
+
+
+def _bits(values: np.ndarray) -> list[int]:
+    """For each seed the bits set in over half of the values, mixed by the seed."""
+    out = []
+    for seed in SEEDS:
+        mixed = values + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        counts = np.zeros(64, np.int64)
+        for start in range(0, len(mixed), 1 << 16):
+            part = mixed[start:start + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(values), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _sketches(width: int) -> Callable:
+    """A node (hash of the set of shingles) and its bits for each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            nodes, bits = [], []
+            for text in rows_of(batch, "text"):
+                values = shingle_set(text, width)
+                nodes.append(xxhash.xxh64_intdigest(values.tobytes()))
+                bits.append(_bits(values))
+            parts = np.array(bits, np.int64).reshape(-1, len(PARTS))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index("key")), pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                 *(pa.array(parts[:, i]) for i in range(len(PARTS)))], names=["key", "node", *PARTS])
+    return run
+
+
+def _sets(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            values = [shingle_set(t, width).view(np.int64) for t in rows_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index("node")), pa.array(values, pa.list_(pa.int64()))],
+                names=["node", "shingles"])
+    return run
+
+
+def _proposals(nearest: int) -> Callable:
+    """Of every row at home the nearest rows of other groups within PROPOSED bits; more: the anchor, where a row
+    had more of them."""
+    def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
+        key, home, node, group, fps = part
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        found: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+        for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            homes = s + np.flatnonzero(home[s:e]) if e - s > 1 else []
+            step = max(1, (1 << 18) // (e - s))
+            for low in range(0, len(homes), step):
+                some = homes[low:low + step]
+                near = _apart(fps[some][:, None], fps[s:e])
+                near[group[some][:, None] == group[s:e]] = PROPOSED + 1
+                for at in np.flatnonzero((near <= PROPOSED).any(axis=1)):
+                    others = np.flatnonzero(near[at] <= PROPOSED)
+                    most = others[np.argsort(near[at][others], kind="stable")[:nearest]]
+                    more = key[s] // 1_000_003 if len(others) > nearest else -1
+                    found.append(np.stack([np.full(len(most), node[some[at]]), node[s + most],
+                                           np.full(len(most), more)]))
+        a, b, more = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], names=["a", "b", "more"])
+
+    return lambda batches: _compare(batches, pairs, ("home", "node", "group"))
+
+
+def links_by_share(firsts: DataFrame, sets: Callable[[DataFrame], DataFrame], share: float) -> DataFrame:
+    """Links (a, b) that span the groups of nodes whose sets overlap by share or more. sets: from nodes to
+    (node, shingles)."""
+    columns = ", ".join(f"{c} long" for c in ("node", "group", *PARTS))
+    links: list[DataFrame] = []
+    grouped, crowded, nearest = firsts.select("node", F.col("node").alias("group"), *PARTS), None, NEAREST
+    while True:
+        visits = grouped.select("node", "group", *PARTS).mapInArrow(_visits, f"anchor long, home boolean, {columns}")
+        if crowded is not None:
+            visits = visits.join(crowded, "anchor", "left_semi")
+        met = stored(_tiled(visits).select("anchor", "tile", "home", "node", "group", *PARTS)
+                     .mapInArrow(_proposals(nearest), "a long, b long, more long"), "proposals")
+        pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        own = stored(sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+                          .distinct()), "shingle-sets")
+        one, other = (own.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("a", "b"))
+        both = F.size(F.array_intersect("a_set", "b_set"))
+        links.append(stored(pairs.join(one, "a").join(other, "b")
+                            .where(both / (F.size("a_set") + F.size("b_set") - both) >= share).select("a", "b"),
+                            "share-links"))
+        crowded = stored(met.where("more >= 0").select(F.col("more").alias("anchor")).distinct(), "open-anchors")
+        every = reduce(DataFrame.unionByName, links)
+        if crowded.isEmpty():
+            return every
+        roots = stored(components(every), "groups").withColumnRenamed("node", "_node")
+        grouped = stored(firsts.join(roots, firsts.node == F.col("_node"), "left")
+                         .select("node", F.coalesce("root", "node").alias("group"), *PARTS), "grouped")
+        nearest *= 8
+
+
+def drop_copies_by_share(docs: DataFrame, share: float = 0.8, id_column: str = "doc_id", text_column: str = "text",
+                         width: int = 5) -> DataFrame:
+    """Like drop_near_copies, but two texts are near copies when the sets of their shingles overlap by share or
+    more: shared ones over all of both. The bits only propose the pairs."""
+    own, = fresh(docs, "_key")
+    key = _key(id_column, text_column)
+    keyed = docs.select(key.alias("key"), text_bytes(text_column).alias("text"))
+    schema = keyed.select("key").schema
+    for name in ("node", *PARTS):
+        schema = schema.add(name, "long")
+    fps = stored(keyed.mapInArrow(_sketches(width), schema), "sketches")
+    firsts = stored(fps.groupBy("node", *PARTS).agg(F.min("key").alias("first")), "distinct-sketches")
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        wanted = firsts.join(nodes, "node").select("node", *(F.col(f"first.{k}").alias(f"_first_{k}")
+                                                            for k in ("none", "id", "text")))
+        texts = keyed.join(wanted, _same(keyed["key"], "_first_")).select("node", "text").dropDuplicates(["node"])
+        return texts.mapInArrow(_sets(width), "node long, shingles array<long>")
+
+    links = links_by_share(firsts, sets, share)
+    return _without_later(docs.withColumn(own, key), own, fps, firsts, links).select(docs.columns)

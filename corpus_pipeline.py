@@ -26,8 +26,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return wide_simhash.drop_near_copies(docs)
+    """One document of each group of near copies: 0.8 or more of the five-word shingles shared."""
+    return wide_simhash.drop_copies_by_share(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

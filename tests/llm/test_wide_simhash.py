@@ -42,3 +42,61 @@ def test_edge_rows(spark):
     kept = sorted(str(r.doc_id) for r in wide.drop_near_copies(df).collect())
     assert kept == ["1", "3", "5", "6"]
     assert wide.drop_near_copies(df.where("false")).count() == 0
+
+
+def share_groups(rows, share=0.8):
+    """Groups of row numbers linked by the Jaccard share of their five-word shingles."""
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[i:i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= share:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    out = {}
+    for i in range(len(rows)):
+        out.setdefault(find(i), []).append(i)
+    return list(out.values())
+
+
+@pytest.mark.parametrize(("tile", "nearest"), [(4096, 4), (2, 1)])
+def test_share_against_all_pairs(spark, monkeypatch, tile, nearest):
+    monkeypatch.setattr(wide, "TILE", tile)
+    monkeypatch.setattr(wide, "NEAREST", nearest)
+    rng = np.random.default_rng(5)
+    rows = texts()
+    names = [f"v{i}" for i in range(500)]
+    for k in range(12):  # one much repeated line and little else
+        rows.append((1000 + k, "the same five words again " * 60 + " ".join(rng.choice(names, 40))))
+    base = list(rng.choice(names, 150))
+    for k in range(60):  # a large group, of which some pairs fall short of the limit
+        body = list(base)
+        for _ in range(int(rng.integers(1, 6))):
+            body[int(rng.integers(len(body)))] = str(rng.choice(names))
+        rows.append((2000 + k, " ".join(body)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in wide.drop_copies_by_share(df).collect()}
+    want = {min(rows[i][0] for i in g) for g in share_groups(rows)}
+    # No document is dropped below the limit; a pair just above it may be missed by the bits.
+    assert want <= got and len(got - want) <= 0.02 * len(rows)
+    assert set(range(1000, 1012)) <= got
+
+
+def test_share_edge_rows(spark):
+    long = "x y z " * 30_000
+    rows = [(1, None), (2, ""), (3, "One two"), (3, "ONE two"), (None, " \t"), (5, long), (6, "a b c d"), (7, None),
+            (8, long + "q"), (9, "a b c d"), (9, "a b c d"), (10, "One two three four five six")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(str(r.doc_id) for r in wide.drop_copies_by_share(df).collect())
+    # Of long there are three shingles, and a fourth with the last word: 3 / 4 is too little.
+    assert kept == ["1", "10", "3", "5", "6", "8"]
+    assert wide.drop_copies_by_share(df.where("false")).count() == 0
