@@ -7,7 +7,8 @@ distance; one walk and a few sampled positions of it make a key, and windows of
 that share a key with the item in one of several repetitions are candidates. The number of
 repetitions follows from the wanted recall: on items edited up to the limit, the driver measures
 how often one repetition keeps a key. Candidates are then compared exactly with the text around
-the window.
+the window. A window may reach past the end of its text by the limit of edits; what is missing counts
+as an empty word, as in an item whose words were deleted.
 
 One edit breaks q runs of q words at most, so a window with too few pairs or triples of words that
 occur in any item cannot match and gets no key; that loses nothing. Items are handled in blocks of bounded size, one pass over the
@@ -73,16 +74,20 @@ class Walks:
         self.salts = rng.integers(0, 2**63, (4096, repetitions), dtype=np.uint64)
         self.sampled = np.sort(rng.random((SAMPLED, repetitions)), axis=0)  # as shares of the walk
 
-    def keys(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The keys (walk, window) of the windows of sizes words that begin at starts in ids."""
+    def keys(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """The keys (walk, window) of the windows of sizes words that begin at starts in ids; words from ends on
+        (one for each window) are empty."""
         out = np.zeros((self.salts.shape[1], len(starts)), np.uint64)
         for n in np.unique(sizes):
             rows = np.flatnonzero(sizes == n)
-            out[:, rows] = self._of_size(ids, starts[rows], int(n))
+            out[:, rows] = self._of_size(ids, starts[rows], int(n), None if ends is None else ends[rows])
         return out
 
-    def _of_size(self, ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        words = np.vstack([ids[starts + i] for i in range(n)] + [np.zeros(len(starts), np.int64)])
+    def _of_size(self, ids: np.ndarray, starts: np.ndarray, n: int, ends: np.ndarray | None) -> np.ndarray:
+        words = np.vstack([ids[np.minimum(starts + i, len(ids) - 1)] for i in range(n)]
+                          + [np.zeros(len(starts), np.int64)])
+        for i in range(n) if ends is not None and (ends - starts < n).any() else ():
+            words[i, starts + i >= ends] = 0
         words = words.astype(np.uint64).ravel()  # the symbols of all windows, place by place
         wanted = (self.sampled * 3 * n).astype(int)
         at = np.tile(np.arange(len(starts)), (self.salts.shape[1], 1))  # into words
@@ -200,9 +205,9 @@ class Searcher:
             places[q], found_in[q] = (codes[at][order], at[order]), (at, run)
         starts, sizes = [], []
         for n in self.sizes.tolist():
-            last = len(ids) - n + 1
+            last = len(ids) - n + limit(n) + 1
             if last > 0:
-                ok = ends[:last] - np.arange(last) >= n
+                ok = ends[:last] - np.arange(last) >= n - limit(n)
                 for q, (at, run) in found_in.items():
                     if n >= q and shared(n, q) > 0:
                         ok &= self.known[q].enough(at, run, n, q, last)
@@ -212,7 +217,7 @@ class Searcher:
         starts, sizes = np.concatenate([[], *starts]).astype(int), np.concatenate([[], *sizes]).astype(int)
         for low in range(0, len(starts), 1 << 14):
             own = starts[low:low + (1 << 14)]
-            probes = self.walks.keys(ids, own, sizes[low:low + (1 << 14)])
+            probes = self.walks.keys(ids, own, sizes[low:low + (1 << 14)], ends[own])
             for probe, (keys, items) in zip(probes, self.keys, strict=True):
                 left, right = (np.searchsorted(keys, probe, side) for side in ("left", "right"))
                 many = right - left
@@ -273,7 +278,7 @@ class Searcher:
                 if start <= reached:
                     continue
                 low, high = max(first, start - slack), min(stop, start + 2 * len(own) + slack)
-                reached = high - len(own) - slack
+                reached = high - len(own) - slack if high < stop else stop  # later ones see no more of the text
                 d, s, e = distance(own, ids[low:high])
                 if d <= limit(len(own)) and (best is None or d < best[3]):
                     best = (item, low + s - first, low + e - first, d)

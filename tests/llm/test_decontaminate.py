@@ -88,3 +88,24 @@ def test_edge_rows(spark):
     assert sorted(r.item_id for r in kept.collect()) == ["a", "b", "d"]
     assert d.drop_contaminated(frame, bench.where("false")).count() == len(rows)
     assert d.contaminated(frame.where("false"), bench).count() == 0
+
+
+def test_items_shortened_at_the_end_of_a_text(spark):
+    """An item with deleted words as a whole document, and as the last words of one."""
+    rng = np.random.default_rng(9)
+    names = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(names, int(rng.integers(8, 40))))) for i in range(40)]
+    docs = []
+    for i, item in items:
+        for k in range(1, 3):
+            body = item.split()
+            for _ in range(min(k, d.limit(len(body)))):
+                del body[int(rng.integers(len(body)))]
+            docs.append((10 * i + k, " ".join(body)))
+            docs.append((10 * i + 4 + k, " ".join([*rng.choice(["x", "y", "z"], 30), *body])))
+    want = {(i, j) for i, text in docs for j, item in items
+            if edit_distance(d.words_of(item), d.words_of(text)) <= d.limit(len(d.words_of(item)))}
+    got = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                         spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert found <= want and len(found) >= 0.97 * len(want) >= 0.97 * len(docs)
