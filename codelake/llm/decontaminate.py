@@ -5,8 +5,8 @@ contaminates it when its edit distance to an item of n words is at most n / 5. T
 turns such a sequence into three times as many symbols so that edit distance becomes Hamming
 distance; one walk and a few sampled positions of it make a key, and windows of an item's length
 that share a key with the item in one of several repetitions are candidates. The number of
-repetitions follows from the wanted recall: on items edited up to the limit, the driver measures
-how often one repetition keeps a key. Candidates are then compared exactly with the text around
+repetitions follows from the wanted recall, for each item size: on items of the size edited up to the
+limit, the driver measures how often one repetition keeps a key. Candidates are then compared exactly with the text around
 the window. A window may reach past the end of its text by the limit of edits; what is missing counts
 as an empty word, as in an item whose words were deleted.
 
@@ -38,7 +38,9 @@ WORD = re.compile(r"[^\W_]+")
 SAMPLED = 3  # positions of a walk in a key
 RECALL = 0.98  # per matching window at the limit of edits
 BLOCK_WORDS = 500_000  # words of the items that one pass holds
-TRIAL_ITEMS = 64  # items on which the collision rate is measured
+TRIALS = 32  # edited items of each size, at least, on which the collision rate is measured
+TRIAL_CELLS = 1 << 21  # words times walks of a trial that are in memory at once
+PROBES = 1 << 18  # windows times walks, or words, that are compared at once
 CHUNK = 1 << 19  # words of documents that are searched at once
 SEED = 4
 
@@ -74,16 +76,14 @@ class Walks:
         self.salts = rng.integers(0, 2**63, (4096, repetitions), dtype=np.uint64)
         self.sampled = np.sort(rng.random((SAMPLED, repetitions)), axis=0)  # as shares of the walk
 
-    def keys(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
-        """The keys (walk, window) of the windows of sizes words that begin at starts in ids; words from ends on
-        (one for each window) are empty."""
-        out = np.zeros((self.salts.shape[1], len(starts)), np.uint64)
-        for n in np.unique(sizes):
-            rows = np.flatnonzero(sizes == n)
-            out[:, rows] = self._of_size(ids, starts[rows], int(n), None if ends is None else ends[rows])
+    def first(self, repetitions: int) -> Walks:
+        out = Walks.__new__(Walks)
+        out.salts, out.sampled = self.salts[:, :repetitions], self.sampled[:, :repetitions]
         return out
 
-    def _of_size(self, ids: np.ndarray, starts: np.ndarray, n: int, ends: np.ndarray | None) -> np.ndarray:
+    def keys(self, ids: np.ndarray, starts: np.ndarray, n: int, ends: np.ndarray | None = None) -> np.ndarray:
+        """The keys (walk, window) of the windows of n words that begin at starts in ids; words from ends on
+        (one for each window) are empty."""
         words = np.vstack([ids[np.minimum(starts + i, len(ids) - 1)] for i in range(n)]
                           + [np.zeros(len(starts), np.int64)])
         for i in range(n) if ends is not None and (ends - starts < n).any() else ():
@@ -119,18 +119,31 @@ def edited(ids: np.ndarray, edits: int, rng: np.random.Generator, alphabet: int)
 
 
 def repetitions_for(items: list[np.ndarray], recall: float) -> int:
-    """Repetitions after which a window at the limit of edits shares a key with its item."""
-    rng, trial = np.random.default_rng(SEED), Walks(64)
-    some = items[:TRIAL_ITEMS]
-    sizes = np.array([len(x) for x in some])
-    ids = np.concatenate([*some, np.zeros(1, np.int64)])
-    other = [np.concatenate([edited(x, limit(len(x)), rng, 1 << 20), np.zeros(len(x), np.int64)])[:2 * len(x)]
-             for x in some]
-    others = np.concatenate(other)
-    starts, ends = np.cumsum(sizes) - sizes, np.cumsum([len(x) for x in other])
-    same = trial.keys(ids, starts, sizes) == trial.keys(others, ends - [len(x) for x in other], sizes)
-    rate = same.mean()
-    return int(np.clip(np.ceil(np.log(1 - recall) / np.log(max(1e-9, 1 - rate))), 4, 256))
+    """Repetitions after which a window at the limit of edits shares a key with its item; the items have one size.
+
+    Edits differ in how often they keep a key, so it is the mean over the trials that must reach the recall."""
+    n, rng = len(items[0]), np.random.default_rng(SEED)
+    some = items * -(-TRIALS // len(items))
+    other = [np.concatenate([edited(x, limit(n), rng, 1 << 20), np.zeros(n, np.int64)])[:n] for x in some]
+    walks = 64
+    while True:
+        trial, hits, step = Walks(walks), [], max(1, TRIAL_CELLS // (n * walks))
+        for low in range(0, len(some), step):
+            ids, others = (np.concatenate(x[low:low + step]) for x in (some, other))
+            starts = np.arange(0, len(ids), n)
+            hits.append((trial.keys(ids, starts, n) == trial.keys(others, starts, n)).sum(axis=0))
+        kept = np.concatenate(hits)
+        if kept.mean() >= 4 or walks >= 1 << 12:
+            break
+        walks *= 4  # too few for a rate
+    missed = 1 - (kept + 1) / (walks + 2)  # a trial without a hit has a rate above zero, too
+    low, high = 4, 8
+    while (missed ** high).mean() > 1 - recall:
+        low, high = high, 2 * high
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if (missed ** middle).mean() <= 1 - recall else (middle + 1, high)
+    return low
 
 
 def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -186,12 +199,17 @@ class Searcher:
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in items for w in ws), 1)}
         self.names = [name for name, _ in items]
         self.items = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
-        self.walks = Walks(repetitions_for(self.items, recall))
         sizes = np.array([len(x) for x in self.items])
         self.sizes = np.unique(sizes)
-        keys = self.walks.keys(np.concatenate(self.items), np.cumsum(sizes) - sizes, sizes)
-        order = np.argsort(keys, axis=1, kind="stable")
-        self.keys = [(k[o], o) for k, o in zip(keys, order, strict=True)]
+        groups = {n: np.flatnonzero(sizes == n) for n in self.sizes.tolist()}
+        self.repetitions = {n: repetitions_for([self.items[i] for i in own], recall) for n, own in groups.items()}
+        self.walks = Walks(max(self.repetitions.values()))  # each size takes the first ones
+        self.keys: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # for each size and walk keys in order, items
+        for n, own in groups.items():
+            same = np.concatenate([self.items[i] for i in own])
+            keys = self.walks.first(self.repetitions[n]).keys(same, np.arange(len(own)) * n, n)
+            order = np.argsort(keys, axis=1, kind="stable")
+            self.keys[n] = [(k[o], own[o]) for k, o in zip(keys, order, strict=True)]
         self.runs = {q: [np.unique(runs(x, q)) for x in self.items] for q in (2, 3)}
         self.known = {q: Runs(own, sizes) for q, own in self.runs.items()}
 
@@ -203,28 +221,27 @@ class Searcher:
             at, run = known.look_up(codes)
             order = np.argsort(codes[at], kind="stable")
             places[q], found_in[q] = (codes[at][order], at[order]), (at, run)
-        starts, sizes = [], []
+        found = [np.zeros(0, np.int64)]
         for n in self.sizes.tolist():
             last = len(ids) - n + limit(n) + 1
-            if last > 0:
-                ok = ends[:last] - np.arange(last) >= n - limit(n)
-                for q, (at, run) in found_in.items():
-                    if n >= q and shared(n, q) > 0:
-                        ok &= self.known[q].enough(at, run, n, q, last)
-                starts.append(np.flatnonzero(ok))
-                sizes.append(np.full(len(starts[-1]), n))
-        found = [np.zeros(0, np.int64)]
-        starts, sizes = np.concatenate([[], *starts]).astype(int), np.concatenate([[], *sizes]).astype(int)
-        for low in range(0, len(starts), 1 << 14):
-            own = starts[low:low + (1 << 14)]
-            probes = self.walks.keys(ids, own, sizes[low:low + (1 << 14)], ends[own])
-            for probe, (keys, items) in zip(probes, self.keys, strict=True):
-                left, right = (np.searchsorted(keys, probe, side) for side in ("left", "right"))
-                many = right - left
-                at = np.repeat(np.arange(len(own)), many)
-                if len(at):
-                    offset = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                    found.append(own[at] * len(self.items) + items[left[at] + offset])
+            if last <= 0:
+                continue
+            ok = ends[:last] - np.arange(last) >= n - limit(n)
+            for q, (at, run) in found_in.items():
+                if n >= q and shared(n, q) > 0:
+                    ok &= self.known[q].enough(at, run, n, q, last)
+            starts, walks = np.flatnonzero(ok), self.walks.first(self.repetitions[n])
+            step = max(1, PROBES // max(n, self.repetitions[n]))
+            for low in range(0, len(starts), step):
+                own = starts[low:low + step]
+                probes = walks.keys(ids, own, n, ends[own])
+                for probe, (keys, items) in zip(probes, self.keys[n], strict=True):
+                    left, right = (np.searchsorted(keys, probe, side) for side in ("left", "right"))
+                    many = right - left
+                    at = np.repeat(np.arange(len(own)), many)
+                    if len(at):
+                        offset = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                        found.append(own[at] * len(self.items) + items[left[at] + offset])
         pairs = np.stack(np.divmod(np.unique(np.concatenate(found)), len(self.items)), 1)
         return self._alike(places, pairs)
 

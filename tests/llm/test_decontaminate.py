@@ -109,3 +109,20 @@ def test_items_shortened_at_the_end_of_a_text(spark):
                          spark.createDataFrame(items, "item_id long, text string")).collect()
     found = {(r.doc_id, r.item_id) for r in got}
     assert found <= want and len(found) >= 0.97 * len(want) >= 0.97 * len(docs)
+
+
+def test_recall_of_long_items_among_short_ones():
+    """Repetitions come from each size: short items first in the file take nothing from the long ones."""
+    rng = np.random.default_rng(6)
+    short = [(i, [f"s{w}" for w in rng.integers(0, 300, 3)]) for i in range(64)]
+    long = [(64 + i, [f"w{w}" for w in rng.integers(0, 3000, 100)]) for i in range(40)]
+    search = d.Searcher(short + long)
+    hit = total = 0
+    for i in range(64, 104):
+        for _ in range(8):
+            other = d.edited(search.items[i], d.limit(100), rng, 1 << 20)
+            text = np.concatenate([np.zeros(50, np.int64), other, np.zeros(150, np.int64)])
+            found = search.candidates(text, np.full(len(text), 50 + len(other)))
+            hit += [50, i] in found.tolist()  # the window that begins with the leaked words
+            total += 1
+    assert hit >= 0.96 * total
