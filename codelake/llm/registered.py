@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from codelake.llm import decontaminate, exact, language, licences, mixing, ngram_lm, quality, repeats, simhash, warc
+from codelake.llm import (
+    decontaminate,
+    exact,
+    filter_audit,
+    language,
+    licences,
+    mixing,
+    ngram_lm,
+    quality,
+    repeats,
+    simhash,
+    warc,
+)
 
-MODULES = [language, licences, exact, quality, decontaminate, mixing, ngram_lm, repeats, simhash, warc]
+MODULES = [language, licences, exact, quality, decontaminate, mixing, ngram_lm, repeats, simhash, warc,
+           filter_audit]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
