@@ -12,11 +12,12 @@ from codelake.llm import (
     ngram_lm,
     quality,
     repeats,
+    resample,
     simhash,
     warc,
 )
 
 MODULES = [language, licences, exact, quality, decontaminate, mixing, ngram_lm, repeats, simhash, warc,
-           filter_audit]
+           resample, filter_audit]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
