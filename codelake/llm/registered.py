@@ -8,6 +8,7 @@ from codelake.llm import (
     filter_audit,
     language,
     licences,
+    minhash,
     mixing,
     ngram_lm,
     quality,
@@ -18,6 +19,6 @@ from codelake.llm import (
 )
 
 MODULES = [language, licences, exact, quality, decontaminate, mixing, ngram_lm, repeats, simhash, warc,
-           resample, filter_audit]
+           resample, minhash, filter_audit]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
