@@ -15,13 +15,16 @@ from codelake.sources import tables as T
 
 
 def i1_scan_contents(spark, sf):
-    """Texts written as one file for each source, scanned back with content."""
+    """Texts written as files of a source and at most fifty ids each, scanned back with content."""
     folder = new_folder(spark, "i1")
-    (load(spark, sf, "documents").repartition("source").sortWithinPartitions("source", "doc_id")
-     .select("source", "text").write.partitionBy("source").text(folder))
+    docs = load(spark, sf, "documents").select("source", "doc_id", "text", F.floor(F.col("doc_id") / 50).alias("part"))
+    (docs.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id")
+     .select("source", "part", "text").write.partitionBy("source", "part").text(folder))
     files = I.scan_files(spark, folder, extensions=[".txt"], max_bytes=1 << 30)
     facts = I.file_facts(files)
-    return facts.select(F.regexp_extract("file_path", "source=([^/]*)", 1).alias("name"), "content_hash",
+    name = F.concat_ws("/", F.regexp_extract("file_path", "source=([^/]*)", 1),
+                       F.regexp_extract("file_path", "part=([^/]*)", 1))
+    return facts.select(name.alias("name"), "content_hash",
                         "byte_size", "line_count", F.sha2("content", 256).alias("decoded_hash"))
 
 
@@ -155,8 +158,9 @@ QUERIES = {f.__name__: f for f in (
 
 SQL = {
     "i1_scan_contents": """
-WITH f AS (SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source)
-SELECT source AS name, sha256(t) AS content_hash, strlen(t) AS byte_size,
+WITH f AS (SELECT source || '/' || doc_id // 50 AS name, string_agg(text || chr(10), '' ORDER BY doc_id) AS t
+           FROM documents GROUP BY 1)
+SELECT name, sha256(t) AS content_hash, strlen(t) AS byte_size,
        length(t) - length(replace(t, chr(10), '')) + 1 AS line_count, sha256(t) AS decoded_hash FROM f""",
     "i4_diff_with_errors": """
 SELECT source AS project_id, CASE WHEN doc_id % 6 = 5 THEN 'file_not_found' WHEN doc_id % 8 = 0 THEN 'failed'

@@ -397,6 +397,9 @@ def _union_counts(pairs: list[tuple[str, str]], label: str, value: str) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS {label}, {q} AS {value}" for n, q in pairs)
 
 
+_PLACES = "file_path, name, kind, start_line, end_line"
+
+
 def _code() -> dict[str, str]:
     symbols, imports = _with(symbols=_all(SYMBOLS)), _with(imports=_all(IMPORTS))
     everything = _with(symbols=_all(SYMBOLS), types=_all(TYPES), imports=_all(IMPORTS),
@@ -481,7 +484,18 @@ def _code() -> dict[str, str]:
         "i6_replace_files": symbols + f""" SELECT file_path, name, kind, start_line, end_line
             FROM symbols UNION ALL SELECT file_path, 'added', 'function', {height['py']} + s + 1,
             {height['py']} + s + 2 FROM parts WHERE key % 15 = 0""",
+        "t3_delete_in_buckets": symbols + f""", gone AS (SELECT *, coalesce(kind = 'class' OR project_id = 'proj-2'
+            OR (project_id = 'proj-1' AND file_path = 'src/m36.py'), false) AS hit FROM symbols)
+            SELECT {_PLACES}, (SELECT count(*) FROM gone WHERE hit) AS removed FROM gone WHERE NOT hit""",
+        # an added function is a symbol and a scope, its name a reference
+        "i7_stream_entities": everything + ", counted AS (" + " UNION ALL ".join(
+            f"SELECT '{e}' AS table_name, file_path, count(*) AS n FROM {table[e]} GROUP BY file_path"
+            for e in entities) + """ UNION ALL SELECT 'files', file_path, 1 FROM parts)
+            SELECT table_name, file_path, c.n + CASE WHEN key % 15 = 0 AND table_name IN ('symbols', 'scopes',
+              'references') THEN 1 ELSE 0 END AS n FROM counted c JOIN parts p USING (file_path)
+            WHERE key % 7 <> 1""",
     }
+    out["i6_rewrite_buckets"] = out["i6_replace_files"]
     return out
 
 

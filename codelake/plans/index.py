@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from codelake.plans import python_rules, script_rules
 from codelake.plans.lines import KEY, lines, spread, statements, tokens
 from codelake.schemas import TABLES
-from codelake.sources.scan import (detect_language, diff_files, file_facts, file_rows,
-                                   files_with, replace_files)
+from codelake.sources.scan import detect_language, diff_files, file_facts, file_rows, files_with
 from codelake.sources.tables import TableStore
 
 ENTITIES = ("symbols", "types", "imports", "exports", "scopes", "references")
@@ -108,40 +107,40 @@ class Extraction:
         return {e: self.table(e) for e in ENTITIES}
 
 
+def write_entities(store: TableStore, files: DataFrame, replaced: DataFrame) -> None:
+    """Extract the entities of some files into the stored tables. The old rows of the replaced files go;
+    only the buckets of these files are rewritten."""
+    work = Extraction(files, keep=True)
+    for entity in ENTITIES:
+        store.bucketed(entity).replace_files(work.table(entity), replaced)
+    work.release()
+
+
 def index_project(store: TableStore, scan: DataFrame, force: bool = False,
                   indexed_at=None) -> DataFrame:
     """Index what is new or changed in a scan into the stored tables; returns the file status.
 
     Only files whose hash moved are read again. Their old rows, and those of files that are gone
-    from the projects of the scan, leave every table in the same rewrite that brings the new ones;
-    an unchanged run writes nothing. A file that could not be read keeps its old rows and gets a
-    row with its error in the files table.
+    from the projects of the scan, leave every table in the same rewrite that brings the new ones, which
+    touches the buckets of these files alone; an unchanged run writes nothing. A file that could not be read
+    keeps its old rows and gets a row with its error in the files table.
     """
     when = F.current_timestamp() if indexed_at is None else indexed_at
     facts = file_facts(detect_language(scan))
-    if not store.exists("files"):
-        store.replace("files", store.spark.createDataFrame([], TABLES["files"].schema))
+    files = store.bucketed("files")
     # Written out, because the status must not move once the files table does.
     path = f"{store.root}/.runs/{uuid.uuid4().hex}"
-    diff_files(facts, store.read("files"), force).write.parquet(path)
+    diff_files(facts, files.read(), force).write.parquet(path)
     diff = store.spark.read.parquet(path)
     todo, gone, failed = (files_with(diff, *s) for s in (("new", "changed"), ("file_not_found",), ("failed",)))
     replaced = todo.unionByName(gone)
     if not replaced.isEmpty():
         chosen = scan.join(todo, KEY, "left_semi")
-        work = Extraction(chosen, keep=True)
-        for entity in ENTITIES:
-            rows, order = work.table(entity), list(TABLES[entity].sort_by)
-            if store.exists(entity):
-                rows = replace_files(store.read(entity), rows, replaced)
-            store.replace(entity, rows, order)
+        write_entities(store, chosen, replaced)
         # The files table comes last: a run that breaks off is found as still to do.
-        rows = file_rows(chosen, when)
-        if gone.isEmpty():
-            store.append("files", rows, sort_by=KEY)
-        else:
-            store.replace("files", replace_files(store.read("files"), rows, gone), KEY)
-        work.release()
+        if not todo.isEmpty():
+            files.append(file_rows(chosen, when))
+        files.replace_files(files.read().where("false"), gone)
     if not failed.isEmpty():
-        store.append("files", file_rows(scan.join(failed, KEY, "left_semi"), when), sort_by=KEY)
+        files.append(file_rows(scan.join(failed, KEY, "left_semi"), when))
     return diff

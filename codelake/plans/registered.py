@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,17 +229,69 @@ def i5_index_run_stats(spark, sf):
 
 @query
 def i6_replace_files(spark, sf):
-    files = corpus(spark, sf)
-    changed = load(spark, sf, "part").where("p_partkey % 15 = 0").select(
-        F.concat(F.lit("proj-"), F.floor(F.col("p_partkey") / 30).cast("string"))
-        .alias("project_id"),
-        F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("file_path"))
-    edited = files.join(changed, I.FILE_KEY, "left_semi").withColumn(
-        "content", F.concat("content", F.lit("\ndef added():\n    pass\n")))
+    changed, edited = _edited_files(spark, sf)
     new = Extraction(edited).table("symbols")
     table = I.replace_files(index(spark, sf).read("symbols"), new, changed)
-    return longs(table.select("file_path", "name", "kind", "start_line", "end_line"),
-                 "start_line", "end_line")
+    return longs(table.select(SYMBOL_PLACES), "start_line", "end_line")
+
+
+def _edited_files(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The keys of every fifteenth part's file, and these files with a function added."""
+    changed = load(spark, sf, "part").where("p_partkey % 15 = 0").select(
+        F.concat(F.lit("proj-"), F.floor(F.col("p_partkey") / 30).cast("string")).alias("project_id"),
+        F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("file_path"))
+    files = corpus(spark, sf).join(changed, I.FILE_KEY, "left_semi")
+    return changed, files.withColumn("content", F.concat("content", F.lit("\ndef added():\n    pass\n")))
+
+
+SYMBOL_PLACES = ["file_path", "name", "kind", "start_line", "end_line"]
+
+
+@query
+def i6_rewrite_buckets(spark, sf):
+    """The changed files written into stored buckets, and one project deleted from them."""
+    store = T.TableStore(spark, new_folder(spark, "i6"))
+    table = store.bucketed("symbols")
+    symbols = index(spark, sf).read("symbols")
+    table.append(symbols)
+    changed, edited = _edited_files(spark, sf)
+    table.replace_files(Extraction(edited).table("symbols"), changed)
+    return longs(store.read("symbols").select(SYMBOL_PLACES), "start_line", "end_line")
+
+
+@query
+def t3_delete_in_buckets(spark, sf):
+    """Deletes by equality: of a kind, of a project, of one file."""
+    store = T.TableStore(spark, new_folder(spark, "t3b"))
+    store.bucketed("symbols").append(index(spark, sf).read("symbols"))
+    removed = [store.delete_where("symbols", e) for e in (
+        {"kind": "class"}, {"project_id": "proj-2"}, {"project_id": "proj-1", "file_path": "src/m36.py"})]
+    return longs(store.read("symbols").select(SYMBOL_PLACES), "start_line", "end_line").withColumn(
+        "removed", F.lit(sum(removed)).cast("bigint"))
+
+
+@query
+def i7_stream_entities(spark, sf):
+    """Three drops with edits, repeats, late older versions and deletions, kept current in every table."""
+    files, folder = corpus(spark, sf).select(*I.FILE_KEY, "content"), new_folder(spark, "i7e")
+    edited = _edited_files(spark, sf)[1].select(*I.FILE_KEY, "content")
+    key = F.regexp_extract("file_path", r"m(\d+)", 1).cast("int")
+    old = files.withColumn("content", F.concat("content", F.lit("\ndef stale(): pass\n")))
+    drops = [files.where(key % 2 == 0).withColumn("arrival", F.lit(2))
+             .unionByName(old.where(key % 6 == 0).withColumn("arrival", F.lit(1))),
+             files.where(key % 2 == 1).unionByName(files.where(key % 8 == 0)).withColumn("arrival", F.lit(3)),
+             edited.withColumn("arrival", F.lit(5))
+             .unionByName(old.where(key % 3 == 0).withColumn("arrival", F.lit(1)))
+             .unionByName(files.where(key % 7 == 1).withColumns({"content": F.lit(None).cast("string"),
+                                                                 "arrival": F.lit(9)}))]
+    store = T.TableStore(spark, f"{folder}/tables")
+    for drop in drops:
+        drop.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(drop.schema).parquet(f"{folder}/in")
+        index_stream.stream_into_index(source, store, f"{folder}/checkpoint", "arrival", at())
+    rows = [store.read(e).groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(e).alias("table_name"), "file_path", "n") for e in (*ENTITIES, "files")]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query

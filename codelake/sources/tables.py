@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codelake.schemas import TABLES
+from codelake.sources.buckets import FOLDERS, BucketTable
+
 
 class TableMissing(ValueError):
     pass
@@ -38,8 +41,20 @@ class TableStore:
         return sorted(n for n in names if n.startswith("v")
                       and fs.exists(self._path(f"{self.root}/{table}/{n}/_SUCCESS")))
 
+    def bucketed(self, table: str) -> BucketTable:
+        """The table of that name, one of those in schemas.TABLES, kept in buckets of files."""
+        spec = TABLES[table]
+        return BucketTable(self.spark, f"{self.root}/{table}", spec.schema, list(spec.sort_by))
+
+    def _in_buckets(self, table: str) -> BucketTable | None:
+        fs, folder = self._fs(), self._path(f"{self.root}/{table}")
+        if table not in TABLES or not fs.exists(folder):
+            return None
+        names = (s.getPath().getName() for s in fs.listStatus(folder))
+        return self.bucketed(table) if any(n.startswith(f"{FOLDERS[0]}=") for n in names) else None
+
     def exists(self, table: str) -> bool:
-        return bool(self._snapshots(table))
+        return bool(self._in_buckets(table) or self._snapshots(table))
 
     def location(self, table: str) -> str:
         snapshots = self._snapshots(table)
@@ -55,6 +70,9 @@ class TableStore:
     def read(self, table: str) -> DataFrame:
         """The newest snapshot, with the types it was written with: values of partition folders are
         not guessed anew."""
+        buckets = self._in_buckets(table)
+        if buckets:
+            return buckets.read()
         location = self.location(table)
         reader, note = self.spark.read, self._path(f"{location}/_schema.json")
         if self._fs().exists(note):
@@ -128,6 +146,9 @@ class TableStore:
         """Delete by AND of equalities and return the number of rows removed."""
         if not equals and not delete_all:
             raise ValueError("give conditions or delete_all=True")
+        buckets = self._in_buckets(table)
+        if buckets:
+            return buckets.delete_where(equals or {})
         df = self.read(table)
         hit = matches(equals) if equals else F.lit(True)
         removed = df.where(hit).count()

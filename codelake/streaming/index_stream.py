@@ -1,57 +1,109 @@
-"""Continuous indexing of arriving file rows."""
+"""Continuous indexing of arriving file rows.
+
+What is known of a file, its newest arrival and content hash, is one entry of Spark's state store, so a
+micro-batch reads its own rows and that state and nothing that earlier batches wrote. (A cluster names the
+RocksDB provider in spark.sql.streaming.stateStore.providerClass, which keeps the entries on disk.)
+
+A row without content is a deletion. Of several rows of a file in a batch the newest arrival counts; rows
+that arrive late, with an older arrival than the state knows, change nothing, and neither does a newer row
+with the same content. All rows of a file in a batch go to one task, one after another, which keeps a
+single one of them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codelake.operators.versions import latest_by_key
-from codelake.sources.scan import FILE_KEY, detect_language, file_facts
+from codelake.plans.index import write_entities
+from codelake.sources.scan import FILE_KEY, detect_language, file_facts, file_rows
+from codelake.sources.tables import TableStore
 
 FILES = ("project_id string, file_path string, language string, content_hash string, "
          "line_count bigint, byte_size bigint, batch_id bigint")
+CHANGES = "project_id string, file_path string, content string, content_hash string, arrival bigint"
+
 
+def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The newest row of a file, if it changes what the state knows: (arrival, hash; empty: deleted)."""
+    best = None
+    for frame in frames:
+        order = frame.sort_values(["arrival", "content_hash"])
+        row = order.iloc[-1]
+        if best is None or (row.arrival, row.content_hash) > (best.arrival, best.content_hash):
+            best = row
+    arrival, known = state.get if state.exists else (None, "")
+    if arrival is not None and best.arrival <= arrival:
+        return
+    state.update((int(best.arrival), best.content_hash))
+    if best.content_hash != known:
+        yield pd.DataFrame({"project_id": [key[0]], "file_path": [key[1]], "content": [best.content],
+                            "content_hash": [best.content_hash], "arrival": [int(best.arrival)]})
 
-def _batches(spark: SparkSession, path: str, schema: str, below: int) -> DataFrame:
-    """Rows written by earlier batches; an unfinished attempt of this batch is not among them."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return spark.createDataFrame([], schema)
-    return (spark.read.schema(T.StructType.fromDDL(schema)).parquet(path)
-            .where(F.col("batch_id") < below))
+
+def changed_files(source: DataFrame, order: str) -> DataFrame:
+    """The stream of files whose content moved: CHANGES, where a deleted file has no content and an empty
+    hash."""
+    rows = detect_language(source).where("language is not null").select(
+        *FILE_KEY, "content", F.coalesce(F.sha2("content", 256), F.lit("")).alias("content_hash"),
+        F.col(order).cast("bigint").alias("arrival"))
+    return rows.groupBy(*FILE_KEY).applyInPandasWithState(
+        _newest, CHANGES, "arrival bigint, content_hash string", "update", GroupStateTimeout.NoTimeout)
+
+
+def _drain(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
+    (stream.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def stream_into_index(source: DataFrame, store: TableStore, checkpoint: str, order: str, indexed_at=None) -> None:
+    """Keep the files table and the six entity tables current until a stream of (project_id, file_path,
+    content, order) is drained.
+
+    The old rows of a changed or deleted file go in the same rewrite that brings the new ones. Running a
+    batch again replaces the same files by the same rows, so the tables are exactly what a batch run over the
+    newest versions leaves."""
+    when = F.current_timestamp() if indexed_at is None else indexed_at
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        files, gone = batch.where("content_hash <> ''"), batch.select(*FILE_KEY)
+        if not batch.isEmpty():
+            write_entities(store, files.select(*FILE_KEY, "content"), gone)
+            store.bucketed("files").replace_files(file_rows(files, when), gone)
+        batch.unpersist()
+
+    _drain(changed_files(source, order), checkpoint, handle)
 
 
 def current_files(spark: SparkSession, path: str) -> DataFrame:
     """Newest indexed row per file."""
-    rows = _batches(spark, path, FILES, 1 << 62)
-    return latest_by_key(rows, FILE_KEY, "batch_id", ["content_hash"])
+    rows = spark.read.schema(T.StructType.fromDDL(FILES)).parquet(path)
+    return latest_by_key(rows, FILE_KEY, "batch_id", ["content_hash"]).where("content_hash <> ''")
 
 
 def stream_index(source: DataFrame, target: str, checkpoint: str, order: str,
                  on_changed=None) -> None:
     """Index a stream of (project_id, file_path, content, order) rows until it is drained.
 
-    Each micro-batch keeps the newest row per file, drops files whose hash has not moved and
-    writes the rest to its own batch_id folder. A repeated batch overwrites that folder, so the
-    result is exactly-once. `on_changed(rows)` receives the changed files with their content.
+    Each micro-batch writes the facts of the files that moved to its own batch_id folder. A repeated batch
+    overwrites that folder, so the result is exactly-once. `on_changed(rows)` receives the changed
+    files with their content.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = file_facts(detect_language(latest_by_key(batch, FILE_KEY, order, ["content"])))
-        newest = newest.where("language is not null")
-        old = latest_by_key(_batches(spark, target, FILES, batch_id)
-                            .select(*FILE_KEY, "content_hash", "batch_id"), FILE_KEY, "batch_id",
-                            ["content_hash"])
-        same = old.select(*FILE_KEY, "content_hash")
-        changed = newest.join(same, [*FILE_KEY, "content_hash"], "left_anti")
+        changed = file_facts(detect_language(batch.persist()))
         rows = changed.select(*FILE_KEY, "language", "content_hash", "line_count", "byte_size",
                               F.lit(batch_id).cast("bigint").alias("batch_id"))
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(target))
         if on_changed is not None:
             on_changed(changed)
+        batch.unpersist()
 
-    (source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start().awaitTermination())
+    _drain(changed_files(source, order), checkpoint, handle)

@@ -36,6 +36,64 @@ def test_stream_index_keeps_the_newest_and_skips_repeats(spark, tmp_path):
     assert sorted((r.project_id, r.line_count) for r in got.collect()) == [("p", 2), ("q", 1)]
 
 
+def _tables(store):
+    from codelake.plans.index import ENTITIES
+    out = {}
+    for name in (*ENTITIES, "files"):
+        rows = store.read(name)
+        out[name] = sorted(str(r) for r in rows.drop("indexed_at").collect())
+    return out
+
+
+def test_stream_keeps_every_entity_table(spark, tmp_path):
+    """Edits, repeats, a late older version and a deletion leave what a batch run leaves."""
+    from codelake.plans.index import index_project
+    from codelake.sources.tables import TableStore
+    schema = "project_id string, file_path string, content string, arrival int"
+    a1, a2 = "import os\n\ndef one(x: int):\n    return os\n", "class Two:\n    def go(self): pass\n"
+    b = "import { q } from './a';\nexport class Q { run() { return 1; } }\n"
+    drops = [[("p", "a.py", a1, 1), ("p", "b.ts", b, 1), ("p", "n.md", "z", 1), ("q", "c.py", "def c(): pass\n", 1),
+              ("p", "a.py", "x = 0\n", 0)],
+             [("p", "a.py", a2, 5), ("p", "b.ts", b, 5), ("q", "d.py", "def d(): pass\n", 5)],
+             [("p", "a.py", a1, 3), ("q", "c.py", None, 6), ("q", "d.py", "def d(): pass\n", 6), ("q", "e.js", None, 6)]]
+    store = TableStore(spark, str(tmp_path / "streamed"))
+    opened = []
+    for drop in drops:
+        spark.createDataFrame(drop, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        index_stream.stream_into_index(source, store, str(tmp_path / "ck"), "arrival")
+        opened.append({f: f.stat().st_mtime_ns for f in (tmp_path / "streamed").rglob("*.parquet")})
+    batch = TableStore(spark, str(tmp_path / "batch"))
+    last = [("p", "a.py", a2), ("p", "b.ts", b), ("q", "d.py", "def d(): pass\n")]
+    index_project(batch, spark.createDataFrame(last, "project_id string, file_path string, content string"))
+    assert _tables(store) == _tables(batch)
+    assert {r.name for r in store.read("symbols").collect()} >= {"Two", "go", "Q", "d"}
+    # the last drop deletes c.py: one folder of each table is written anew, the others stay as they are
+    changed = {f.parent for f in set(opened[1]) ^ set(opened[2])}
+    assert len(changed) == 7 and len({(f.parent.name, f.name) for f in changed}) == 1
+
+
+def test_rows_of_one_batch_and_state(spark, tmp_path):
+    schema = "project_id string, file_path string, content string, arrival int"
+    seen = []
+
+    def drain(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        index_stream.stream_index(source, str(tmp_path / "out"), str(tmp_path / "ck"), "arrival",
+                                  lambda rows: seen.append(sorted((r.file_path, r.content) for r in rows.collect())))
+    drain([("p", "a.py", f"v{i}", i) for i in range(50)] + [("p", "b.py", None, 1), (None, "c.py", "c", 1)])
+    assert seen[-1] == [("a.py", "v49"), ("c.py", "c")]
+    drain([("p", "a.py", None, 60), ("p", "b.py", "b", 1), ("p", "b.py", "b", 2)])
+    assert seen[-1] == [("a.py", None), ("b.py", "b")]
+    drain([("p", "a.py", "back", 55), ("p", "b.py", "b", 9)])
+    assert seen[-1] == []
+    drain([("p", "a.py", "back", 61)])
+    assert seen[-1] == [("a.py", "back")]
+    got = index_stream.current_files(spark, str(tmp_path / "out")).collect()
+    assert {(r.project_id, r.file_path) for r in got} == {("p", "a.py"), ("p", "b.py"), (None, "c.py")}
+
+
 def test_todo_defaults(spark):
     base = spark.createDataFrame([("1", "a", "done", "high")],
                                  "todo_id string, title string, status string, priority string")

@@ -123,3 +123,56 @@ def test_one_type_for_each_key_and_broken_records(spark):
            T.infer_schema(spark.createDataFrame([(t,) for t in texts], "j string"), "j").collect()}
     assert got[None] == ("MALFORMED", 1) and got["b"] == ("STRING", 1) and got["c"][1] == 1
     assert got["a"][0].startswith("DECIMAL") and got["a"][1] == 3
+
+
+def _files(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_buckets_of_other_files_are_not_rewritten(spark, tmp_path):
+    from codelake.sources.buckets import BucketTable
+    schema = spark.createDataFrame([], "project_id string, file_path string, name string, line int").schema
+    table = BucketTable(spark, str(tmp_path / "t"), schema, ["project_id", "file_path", "line"], 4, 8)
+    rows = spark.range(400).select(
+        F.concat(F.lit("0"), (F.col("id") % 4).cast("string")).alias("project_id"), F.concat(F.lit("f"), F.floor(F.col("id") / 4)).alias("file_path"),
+        F.concat(F.lit("n"), F.col("id") % 7).alias("name"), F.col("id").cast("int").alias("line"))
+    assert table.read().count() == 0
+    table.append(rows)
+    assert sorted(table.read().collect()) == sorted(rows.collect())
+    before = _files(tmp_path)
+    new = spark.createDataFrame([("01", "f5", "new", 1), ("01", "f5", "newer", 2)], schema)
+    table.replace_files(new, new.select("project_id", "file_path"))
+    after = _files(tmp_path)
+    same = [f for f in before if after.get(f) == before[f]]
+    assert len(before) - len(same) == 1 and len(after) == len(before)
+    assert table.read("01", "f5").count() == 2 and table.read().count() == 401
+    assert table.read("01", "f5").inputFiles() and table.read("01").count() == 101
+    with pytest.raises(Exception, match="not among the changed"):
+        table.replace_files(rows, new.select("project_id", "file_path"))
+    assert table.read().count() == 401
+    # a delete by equality: only the buckets that hold a match
+    before = after
+    assert table.delete_where({"name": "newer"}) == 1
+    after = _files(tmp_path)
+    assert len([f for f in before if after.get(f) == before[f]]) == len(before) - 1
+    # a bucket without rows left, a project, everything
+    assert table.delete_where({"project_id": "01", "file_path": "f5"}) == 1
+    assert table.delete_where({"project_id": "02"}) == 100
+    assert table.read("02").count() == 0 and table.read().count() == 299
+    assert table.delete_where({"name": "none"}) == 0
+    assert table.delete_where({}) == 299 and table.read().count() == 0
+
+
+def test_buckets_of_odd_names(spark, tmp_path):
+    from codelake.sources.buckets import BucketTable
+    schema = spark.createDataFrame([], "project_id string, file_path string, name string").schema
+    table = BucketTable(spark, str(tmp_path / "t"), schema, projects=2, buckets=1)
+    rows = [(p, f"{p}.py", "x") for p in ("1", "01", "a/b=c %", "", "__HIVE_DEFAULT_PARTITION__x", "é")] + [(None, "n.py", "x"), (None, "o.py", "x"), ("", "o.py", "z")]
+    table.append(spark.createDataFrame(rows, schema))
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, spark.createDataFrame(rows, schema).collect()))
+    changed = spark.createDataFrame([(None, "n.py"), ("01", "01.py"), ("", ".py")], "project_id string, file_path string")
+    table.replace_files(spark.createDataFrame([("01", "01.py", "y")], schema), changed)
+    left = {(r.project_id, r.name) for r in table.read().collect()}
+    assert left == {("1", "x"), ("01", "y"), ("a/b=c %", "x"), ("__HIVE_DEFAULT_PARTITION__x", "x"), ("é", "x"), (None, "x"),
+                    ("", "z")}
+    assert table.read("").count() == 1 and table.delete_where({"project_id": ""}) == 1 and table.read("").count() == 0
