@@ -225,6 +225,29 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return fps.join(of, fps.fp == F.col("_fp")).select("doc_id", hex_of("fp"), "component_id")
 
 
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                     width: int = 3) -> DataFrame:
+    """docs with one document of each component, that with the smallest id (a null id comes last).
+
+    Of documents that share this id the one whose text hashes lowest stays; rows that repeat an id and its
+    text are one document. Only groups of two or more give a list of documents to leave out, so texts are read
+    for the fingerprint and for the result, and are compared by id and hash."""
+    own, digest, left, left_digest = fresh(docs, "_id", "_hash", "_left", "_left_hash")
+    hashed = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+    slim = docs.select(F.col(id_column).alias("id"), hashed.alias("hash"), F.col(text_column).alias("text"))
+    fps = stored(fingerprints(slim, ["id", "hash"], "text", width), "doc-fingerprints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    by_fp = stored(labelled(fps.groupBy("fp").agg(F.min(order).alias("least"), F.max(order).alias("most"))), "labelled")
+    groups = (by_fp.groupBy("root").agg(F.min("least").alias("stays"), F.max("most").alias("last"))
+              .where(~F.col("stays").eqNullSafe(F.col("last"))))
+    members = stored(by_fp.join(groups, "root").select(F.col("fp").alias("_fp"), "stays"), "members")
+    out = (fps.join(members, fps.fp == F.col("_fp")).where(~order.eqNullSafe(F.col("stays")))
+           .select(F.col("id").alias(left), F.col("hash").alias(left_digest)).distinct())
+    return (docs.withColumn(own, F.col(id_column)).withColumn(digest, hashed)
+            .join(out, F.col(own).eqNullSafe(F.col(left)) & (F.col(digest) == F.col(left_digest)), "left_anti")
+            .select(docs.columns))
+
+
 def hex_of(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0")).alias("fingerprint")
 

@@ -95,3 +95,17 @@ def test_components_of_a_path_and_a_star(spark):
     out = {r.node: r.root for r in components(df).collect()}
     assert out == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
     assert components(df.where(F.lit(False))).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = brute([(r.doc_id, r.text) for r in df.collect()])
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in rows})
+    text = " ".join(f"w{i}" for i in range(80))
+    odd = [(4, text), (2, text), (2, text), (2, "quite another"), (None, text), (None, "alone here"), (9, None), (8, "")]
+    frame = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(odd)], "_id long, fp string, _hash int")
+    out = sorted(r["_hash"] for r in simhash.drop_near_copies(frame, "_id", "fp").collect())
+    assert out == [1, 2, 3, 5, 7]  # rows that repeat id and text are one document
+    assert simhash.drop_near_copies(frame.where("false"), "_id", "fp").count() == 0
