@@ -4,7 +4,6 @@ import sys
 import pytest
 
 from codelake.llm import decontaminate, quality
-from codelake.llm import wide_simhash as wide
 from codelake.llm.common import table
 from tests_llm_helpers import linked_groups
 
@@ -50,7 +49,7 @@ def test_exact_stage(steps):
 
 def test_near_stage(steps):
     before, after = steps[2]
-    groups = linked_groups([(r.doc_id, r.text) for r in before], 5, wide.SEEDS, wide.DIFFERING)
+    groups = linked_groups([(r.doc_id, r.text) for r in before], 3, (42,), 3)
     assert ids(after) == sorted(min(before[i].doc_id for i in g) for g in groups)
 
 
@@ -73,3 +72,39 @@ def test_mixing_stage_and_run(spark, steps):
     assert all(abs(goal - taken) <= longest for goal, taken in goals.values())
     out = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.mix.copies) for r in out) == sorted((r.doc_id, r.mix.copies) for r in after)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, mix int, _id string"
+
+
+def folder(spark, path, docs, benchmark, labels):
+    for name, rows, schema in (("documents", docs, DOCS), ("benchmark", benchmark, "item_id long, text string"),
+                               ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_run_on_awkward_rows(spark, tmp_path):
+    good = [" ".join(f"sound{(i * 7 + j * j) % 211} prose" for j in range(60)) for i in range(30)]
+    rows = [(i, t, "en", "ab"[i % 2], 1, 0, "x") for i, t in enumerate(good)]
+    rows += [(100, None, None, None, None, None, None), (101, "", None, None, None, None, None),
+             (None, good[3] + " and more", "en", "a", 1, 0, "x"), (5, good[5], "en", "b", 1, 9, "y"),
+             (102, "leak " + "one two three four five six seven eight nine ten", "en", "b", 1, 0, "x"),
+             (103, good[0] + " long" * 30_000, "en", "c", 1, 0, "x")]
+    item = [(1, "one two three four five six seven eight nine ten"), (2, None), (3, "")]
+    sf = folder(spark, tmp_path, rows, item, [])
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert out[0].__fields__[:7] == ["doc_id", "text", "lang", "source", "n_chars", "mix", "_id"]
+    assert out[0].__fields__[7] == "mix_"
+    kept = [r.doc_id for r in out]
+    assert 102 not in kept and kept.count(5) <= 1 and len(set(kept)) == len(kept)
+    texts = [r.text or "" for r in out]
+    assert len(set(texts)) == len(texts)
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    one = [(1, "a few words that stay", "en", "a", 1, 0, "x")]
+    none = folder(spark, tmp_path / "none", [], [], [])
+    assert corpus_pipeline.run(spark, none).count() == 0
+    bare = folder(spark, tmp_path / "bare", one, [], [])
+    assert [r.doc_id for r in corpus_pipeline.run(spark, bare).collect()] == [1]
