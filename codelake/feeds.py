@@ -196,6 +196,23 @@ def corpus(part: DataFrame) -> DataFrame:
         content.alias("content"))
 
 
+def chained_files(part: DataFrame) -> DataFrame:
+    """(project_id, file_path, content): files of a project that import one name from each other in a row.
+
+    The first of thirty defines it, the others pass it on and use it; `loop` goes round in a circle, `only` is
+    defined by one file alone and `twice` by two."""
+    k, place = F.col("p_partkey"), F.col("p_partkey") % 30
+    first = F.concat(F.lit("from .m"), (k + 1).cast("string"), F.lit(
+        " import loop\ndef thing():\n    return 1\ndef twice(): return 2\n"))
+    rest = F.concat(F.lit("from .m"), (k - 1).cast("string"), F.lit(" import thing, loop\ndef use_"), k.cast("string"),
+                    F.lit("():\n    thing()\n    only()\n    loop()\n    twice()\n"))
+    more = F.lit("def only():\n    twice()\ndef twice(): return 3\n")
+    content = F.when(place == 0, first).when(place == 7, F.concat(rest, more)).otherwise(rest)
+    return part.select(
+        F.concat(F.lit("proj-"), F.floor(k / 30).cast("string")).alias("project_id"),
+        F.concat(F.lit("m"), k.cast("string"), F.lit(".py")).alias("file_path"), content.alias("content"))
+
+
 def projects(part: DataFrame) -> DataFrame:
     """Three versions of each project of the corpus; the newest has the highest commit."""
     ids = part.select(F.floor(F.col("p_partkey") / 30).alias("n")).distinct()

@@ -463,6 +463,18 @@ def _code() -> dict[str, str]:
         "g3_resolve_references": _with(symbols=_all(SYMBOLS), imports=_all(IMPORTS),
                                        refs=_all(REFS)) + ",\n" + RESOLVED + ",\n" + EDGES + """
             SELECT * FROM edges""",
+        "g3_names_through_files": """WITH f AS (SELECT p_partkey AS k, p_partkey // 30 AS project, p_partkey % 30 AS place,
+              'm' || p_partkey || '.py' AS file FROM part), users AS (SELECT * FROM f WHERE place > 0)
+            SELECT u.file AS source_file, CAST(3 AS BIGINT) AS source_line, CAST(4 AS BIGINT) AS source_col,
+              'use_' || u.k AS source_name, r.file AS target_file, CAST(2 AS BIGINT) AS target_line
+              FROM users u JOIN f r ON r.project = u.project AND r.place = 0
+            UNION ALL SELECT u.file, 4, 4, 'use_' || u.k, o.file, 7
+              FROM users u JOIN f o ON o.project = u.project AND o.place = 7
+            UNION ALL SELECT u.file, 6, 4, 'use_' || u.k, t.file, CASE t.place WHEN 0 THEN 4 ELSE 9 END
+              FROM users u JOIN f t ON t.project = u.project AND t.place IN (0, 7)
+              WHERE u.place = 7 AND t.place = 7 OR u.place <> 7 AND (SELECT count(*) FROM f x
+                WHERE x.project = u.project AND x.place IN (0, 7)) = 1
+            UNION ALL SELECT file, 8, 4, 'only', file, 9 FROM f WHERE place = 7""",
         "g4_assign_scope": _with(refs=_all(REFS), scopes=_all(SCOPES)) + """
             SELECT r.file_path, r.name, r.start_line, r.start_col, s.kind AS scope_kind,
               s.name AS scope_name, s.depth AS scope_depth FROM refs r JOIN scopes s
@@ -607,6 +619,12 @@ def _sessions() -> dict[str, str]:
             ELSE 1704070000 + CAST(session_id AS BIGINT) END AS BIGINT) AS updated
             FROM ({_ROLLUP})""",
         "s6_stream_session_rollup": base + " " + _ROLLUP,
+        "s6_compacted_rollup": base + " " + _ROLLUP,
+        "s6_stream_sessions": """WITH cut AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (
+              PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+            numbered AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS visit FROM cut)
+            SELECT user_id, count(*) AS events, epoch_us(min(ts)) AS first_at, epoch_us(max(ts)) AS last_at,
+              CAST(1 AS BIGINT) AS too_late FROM numbered GROUP BY user_id, visit""",
         "s6_stream_activity": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type,
             count(*) AS messages FROM events GROUP BY 1, 2""",
     }

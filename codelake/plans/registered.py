@@ -563,6 +563,20 @@ def g3_resolve_references(spark, sf):
                  "source_line", "source_col", "target_line", "target_col")
 
 
+@query
+def g3_names_through_files(spark, sf):
+    """Calls resolved through chains of up to thirty files, a circle, and names that one file alone defines."""
+    files = I.detect_language(feeds.chained_files(load(spark, sf, "part")))
+    work = Extraction(files)
+    symbols = work.table("symbols")
+    resolved = G.resolve_imports(work.table("imports"), files)
+    edges = G.resolve_everywhere(work.table("references"), symbols, resolved, work.table("exports"), at())
+    names = symbols.select(F.col("symbol_id").alias("source_symbol_id"), F.col("name").alias("source_name"))
+    calls = edges.where("edge_type = 'call'").join(names, "source_symbol_id", "left")
+    return longs(calls.select("source_file", "source_line", "source_col", "source_name", "target_file",
+                              "target_line"), "source_line", "source_col", "target_line")
+
+
 @query
 def g4_assign_scope(spark, sf):
     store = index(spark, sf)
@@ -680,6 +694,43 @@ def s6_stream_activity(spark, sf):
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "messages")
 
 
+@query
+def s6_stream_sessions(spark, sf):
+    """Visits of a user, cut at gaps of six hours: a ninth of the events comes late, one far too late."""
+    folder, events = new_folder(spark, "s6s"), load(spark, sf, "events")
+    late = F.col("event_id") % 9 == 4
+    last = events.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("bigint").alias("event_id"), F.expr("ts + interval 100 days").alias("ts"),
+        F.lit(-1).cast("bigint").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"),
+        F.lit("{}").alias("props"))
+    drops = [events.where(~late).unionByName(events.where(~late & (F.col("event_id") % 3 == 0))),
+             events.where(late), last, events.orderBy("event_id").limit(1).withColumn("event_id", F.lit(-2).cast("bigint"))]
+    too_late = 0
+    for drop in drops:
+        drop.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        too_late += session_stream.stream_sessions(
+            source, f"{folder}/out", f"{folder}/checkpoint", ["user_id"], "ts", ["event_id"], "6 hours",
+            "40 days")["too_late"]
+    return spark.read.parquet(f"{folder}/out").select(
+        "user_id", "events", F.unix_micros("first_at").alias("first_at"), F.unix_micros("last_at").alias("last_at"),
+        F.lit(too_late).cast("bigint").alias("too_late"))
+
+
+@query
+def s6_compacted_rollup(spark, sf):
+    """The streamed rollup with partial sums added up between the drops."""
+    rows = feeds.messages(load(spark, sf, "conversations"))
+    folder = new_folder(spark, "s6c")
+    for drop in (rows.where("turn < 2"), rows.where("turn between 1 and 3"), rows.where("turn >= 3")):
+        drop.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        session_stream.stream_session_rollup(source, f"{folder}/out", f"{folder}/checkpoint",
+                                             ["session_id", "turn"])
+        session_stream.compact_rollup(spark, f"{folder}/out")
+    return session_stream.current_rollup(spark, f"{folder}/out")
+
+
 # --- todos ------------------------------------------------------------------------------------
 
 @query

@@ -94,6 +94,71 @@ def test_rows_of_one_batch_and_state(spark, tmp_path):
     assert {(r.project_id, r.file_path) for r in got} == {("p", "a.py"), ("p", "b.py"), (None, "c.py")}
 
 
+def _visits(rows, gap):
+    """Sessions (key, events, first, last) by sorting: a row within the gap of the one before belongs to it."""
+    out = []
+    for key in {k for k, _, _ in rows}:
+        times = sorted({(i, t) for k, i, t in rows if k == key}, key=lambda x: x[1])
+        runs = [[times[0][1]]]
+        for _, t in times[1:]:
+            runs[-1].append(t) if t - runs[-1][-1] <= gap else runs.append([t])
+        out += [(key, len(r), r[0], r[-1]) for r in runs]
+    return sorted(out)
+
+
+def test_sessions_by_gap_with_late_rows(spark, tmp_path):
+    schema = "key string, id int, second long"
+    counts = []
+
+    def drain(rows):
+        frame = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("second"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+        counts.append(session_stream.stream_sessions(
+            source, str(tmp_path / "out"), str(tmp_path / "ck"), ["key"], "at", ["key", "id"], "100 seconds",
+            "1000 seconds", {"ids": "id"}))
+
+    first = [("a", 1, 5000), ("a", 2, 5099), ("a", 3, 5199), ("a", 4, 5400), ("b", 5, 5000), (None, 6, 5000)]
+    late = [("a", 7, 5299), ("b", 5, 5000), ("b", 8, 4950), ("a", 1, 5000)]  # 7 joins two sessions; two are repeats
+    drain(first)
+    drain(late)
+    drain([("z", 9, 9000)])
+    drain([("a", 10, 5100), ("z", 11, 9050)])  # 10 is later than the watermark
+    drain([("z", 12, 20_000)])
+    drain([("z", 13, 30_000)])
+    assert sum(c["too_late"] for c in counts) == 1 and counts[3]["too_late"] == 1
+    want = _visits(sorted({r for r in first + late if r[0]}), 100) + [("z", 2, 9000, 9050), ("z", 1, 20_000, 20_000)]
+    got = spark.read.parquet(str(tmp_path / "out")).select(
+        "key", "events", F.unix_timestamp("first_at"), F.unix_timestamp("last_at"), "ids").collect()
+    assert sorted(tuple(r)[:4] for r in got if r.key) == sorted(want)
+    assert [tuple(r)[1:] for r in got if r.key is None] == [(1, 5000, 5000, 6)]
+    assert {r.ids for r in got if r.key == "a"} == {13, 4}
+
+
+def test_state_of_sessions_and_rollup_stays_small(spark, tmp_path):
+    sizes = {"sessions": [], "rollup": []}
+    for day in range(8):
+        rows = spark.range(40).select(
+            (F.col("id") % 5).cast("string").alias("session_id"), F.lit("p").alias("project_id"), F.lit("user").alias("role"),
+            F.lit(1).alias("token_count"), (F.col("id") + 100 * day).alias("turn"),
+            F.timestamp_seconds(F.lit(86_400 * 3 * day) + F.col("id")).alias("at"))
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        for name, run in (("sessions", lambda s: session_stream.stream_sessions(
+                s, str(tmp_path / "s"), str(tmp_path / "ck-s"), ["session_id"], "at", ["turn"])),
+                ("rollup", lambda s: session_stream.stream_session_rollup(
+                    s, str(tmp_path / "r"), str(tmp_path / "ck-r"), ["session_id", "turn"], "at"))):
+            sizes[name].append(max(run(source)["state_rows"][-1:], default=0))
+    assert max(sizes["sessions"][2:]) <= max(sizes["sessions"][:2]) and max(sizes["rollup"][2:]) <= max(sizes["rollup"][:2])
+    total = session_stream.current_rollup(spark, str(tmp_path / "r")).agg(F.sum("message_count")).first()[0]
+    assert total == 8 * 40
+    # compaction: one row per session, the same sums, also when run again or with more batches
+    assert session_stream.compact_rollup(spark, str(tmp_path / "r")) == session_stream.compact_rollup(spark, str(tmp_path / "r"))
+    assert session_stream._parts(spark, str(tmp_path / "r")).count() == 5
+    assert session_stream.current_rollup(spark, str(tmp_path / "r")).agg(F.sum("message_count")).first()[0] == total
+    assert len([p for p in (tmp_path / "r").iterdir() if p.name.startswith("batch_id")]) == 1
+
+
 def test_todo_defaults(spark):
     base = spark.createDataFrame([("1", "a", "done", "high")],
                                  "todo_id string, title string, status string, priority string")
