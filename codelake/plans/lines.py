@@ -37,6 +37,7 @@ def before(*order: str):
 _QUOTED = r"""%s(?:[^%s\\\n]++|\\[\s\S])*+(?:%s|(?=\n)|\z)"""
 _TRIPLE = r"""%s{3}(?:[^%s\\]++|\\[\s\S]|%s(?!%s{2}))*+(?:%s{3}|\z)"""
 _PREFIX = "[rRbBuUfF]{0,2}"
+_OPERATOR = r"[(,=:\[!&|?;+>{]"
 PYTHON_PIECES = "|".join([
     _PREFIX + _TRIPLE.replace("%s", '"'), _PREFIX + _TRIPLE.replace("%s", "'"),
     _PREFIX + _QUOTED.replace("%s", '"'), _PREFIX + _QUOTED.replace("%s", "'"),
@@ -48,8 +49,9 @@ SCRIPT_PIECES = "|".join([
     _QUOTED.replace("%s", '"'), _QUOTED.replace("%s", "'"),
     r"`(?:[^`\\]++|\\[\s\S])*+(?:`|\z)",
     r"//[^\n]*+", r"/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)",
-    r"(?<=[(,=:\[!&|?;+>] {0,3})/(?![/*])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+",
-    r"""[^"'`/]++""", r"[\s\S]",
+    # an operator, any blanks and a regular expression literal; then text without such an operator at its end
+    _OPERATOR + r"\s*+/(?![/*])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+",
+    r"""(?:[^"'`/(,=:\[!&|?;+>{]++|""" + _OPERATOR + r"(?!\s*+/))++", r"[\s\S]",
 ])
 TOKEN = (r"\s*+(?:[\p{L}_$][\p{L}\p{N}_$]*+|[0-9][\w.]*+|\"'*+|'++|=>|===?|!==?|[<>]=|:=|->|"
          r"\*\*=?|//=?|&&|\|\||\?\?|[-+*/%&|^]=|\?\.|\.{3}|\S)")
@@ -98,10 +100,12 @@ def _python_piece(p: Column) -> Column:
 
 
 def _script_piece(p: Column) -> Column:
+    lead = F.length(F.regexp_extract(p, rf"^{_OPERATOR}\s*+", 0))  # of what stands before a literal
     return (F.when(p.rlike(r"^[\"'`]"), _literal(
         p, r"\$\{[^{}\n\"'`]*+\}|[^$]++|[\s\S]", p.startswith("`") & p.contains("${")))
         .when(p.rlike(r"^/[/*]"), _fill(p, " "))
-        .when(p.rlike(r"^/[\s\S]"), _literal(p, r"[\s\S]", F.lit(False)))
+        .when(p.rlike(rf"^{_OPERATOR}\s*+/"), F.concat(
+            F.left(p, lead), _literal(F.substring(p, lead + 1, F.lit(1 << 30)), r"[\s\S]", F.lit(False))))
         .otherwise(p))
 
 

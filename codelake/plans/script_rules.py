@@ -53,6 +53,15 @@ def neighbours(token_rows: DataFrame) -> DataFrame:
     places = [F.lag("pos", i).over(w).alias(f"q{i}") for i in (1, 2, 3)]
     t = t.select("*", F.lead("tok").over(w).alias("next"), F.lead("pos").over(w).alias("next_pos"),
                  F.lag("fin").over(w).alias("ended"), *before, *places)
+    # The modifiers right before a token: where their run starts, and which of two are among them.
+    upto = w.rowsBetween(PAST, 0)
+    t = t.withColumns({f"_{m}": F.count_if(F.col("tok") == m).over(upto) for m in ("static", "async")})
+    plain = F.when(~_is("tok", *_MODIFIERS), F.struct("next_pos", "_static", "_async"))
+    t = t.withColumn("_plain", F.last(plain, True).over(w.rowsBetween(PAST, -1)))
+    t = t.withColumn("modified", F.struct(
+        F.coalesce("_plain.next_pos", "pos").alias("pos"),
+        *[(F.col(f"_{m}") - F.when(F.col("tok") == m, 1).otherwise(0) > F.coalesce(F.col(f"_plain._{m}"), F.lit(0)))
+          .alias(m) for m in ("static", "async")])).drop("_plain", "_static", "_async")
     new_line = F.coalesce(line_of("q1") != line_of("pos"), F.lit(True))
     breaks = new_line & ~_is("t1", *_RUNS_ON) & ~_is("tok", *_HANGS_ON)
     lead = F.when(breaks & (F.col("level") == 0), F.when(
@@ -169,22 +178,13 @@ def spans(rows: DataFrame) -> DataFrame:
         & ~_is("t1", ".", "=", "(", ",", "return", ":", "abstract"),
         row("class", F.col("next"), F.col("next"), F.col("pos"), F.col("body.fin"), yes, no, no,
             number))
-    chain = [_is("t1", *_MODIFIERS)]
-    for i in (2, 3):
-        chain.append(chain[-1] & _is(f"t{i}", *_MODIFIERS))
-
-    def modified(what: str) -> Column:
-        return ((chain[0] & _is("t1", what)) | (chain[1] & _is("t2", what))
-                | (chain[2] & _is("t3", what)))
-
     method = F.when(
         word & ~_is("tok", "function", *_CONDITIONS) & (F.col("next") == "(") & has_body
         & (F.col("around.role") == "class") & F.col("closer.next").isin("{", ":")
         & ~_is("t1", "=", "new", ".", "=>"),
         row("method", text, F.col("tok"),
-            F.when(chain[2], F.col("q3")).when(chain[1], F.col("q2")).when(chain[0], F.col("q1"))
-            .otherwise(F.col("pos")), F.col("body.fin"), yes, modified("static"),
-            modified("async"), number, no))
+            F.col("modified.pos"), F.col("body.fin"), yes, F.col("modified.static"),
+            F.col("modified.async"), number, no))
     # An arrow function starts at its single parameter or at the bracket of its parameters.
     single = F.coalesce(F.col("t1").rlike(_IDENT), no) & ~_is("t2", ":", ".", "|", "&")
     names = [F.when(single, F.col(f"t{i + 1}")).otherwise(F.col(f"opener.t{i}")) for i in (1, 2)]

@@ -124,3 +124,27 @@ def test_references(work):
 def test_broken_text_gives_no_error(work):
     assert rows(work.table("scopes"), "d.mjs")[0].kind == "module"
     assert rows(work.table("symbols"), "c.tsx") == []
+
+
+@pytest.mark.parametrize("blank", ["", " ", "   ", " " * 4, " " * 10, "\t", "\t \t", "\n", "\n    "])
+def test_literals_of_regular_expressions_after_any_blanks(files, blank):
+    text = ("function one() { const r =" + blank + "/{['\"`/]/g; return r }\n"
+            "const two = (x) => x.split(" + blank + "/[)}]/)\nexport { one, two }\n")
+    work = Extraction(files({"a.js": text}))
+    assert sorted(r.name for r in work.table("symbols").collect()) == ["one", "two"]
+    assert sorted(r.exported_name for r in work.table("exports").collect()) == ["one", "two"]
+
+
+def test_division_is_no_literal(files):
+    text = "function f(a, b) {\n  const c = a / b, d = (a + b) / 2 / c\n  return [a] / { n: 1 }.n / g(c)\n}\nfunction g() {}\n"
+    rows = Extraction(files({"a.ts": text})).table("symbols").collect()
+    assert sorted((r.name, r.start_line, r.end_line) for r in rows) == [("f", 1, 4), ("g", 5, 5)]
+
+
+def test_any_number_of_modifiers(files):
+    text = ("class A {\n  public static override async go() {}\n  protected readonly static accessor public async *all() {}\n"
+            "  x = 1\n  get one() { return 2 * this.two() }\n  two() {}\n  static() {}\n}\n")
+    rows = {r.name: r for r in Extraction(files({"a.ts": text})).table("symbols").collect()}
+    assert {n: (r.start_line, r.start_col, r.is_static, r.is_async) for n, r in rows.items() if n != "A"} == {
+        "go": (2, 2, True, True), "all": (3, 2, True, True), "one": (5, 2, False, False), "two": (6, 2, False, False),
+        "static": (7, 2, False, False)}
