@@ -1,7 +1,7 @@
 """MinHash near-dedup by an inverted join of signature coordinates.
 
 A document is the set of its distinct word shingles, as 64-bit hashes; documents with equal sets are one
-class. A class has a signature of COORDINATES minima. Its postings are the pairs (coordinate, value), each
+class. Sets are stored with the upper 48 bits of each hash. A class has a signature of COORDINATES minima. Its postings are the pairs (coordinate, value), each
 a token; two classes whose signatures agree in MATCHES places share that many tokens.
 
 Prefix: tokens are ordered by how many classes hold them, rarest first. Of two classes that share MATCHES
@@ -13,7 +13,7 @@ byte a coordinate) and keeps those with MATCHES or more. MATCHES is set so that
 similarity falls below it with a chance of about one in a hundred thousand.
 
 What a list passes on spans its groups and is linear in its members. The groups these pairs form bring
-together the full sets: within a group, pairs are taken by falling count, those already in one component
+together the full sets, from a second reading of the texts: within a group, pairs are taken by falling count, those already in one component
 are skipped, and a link is the exact share of the sets. Again only links that join components come out.
 
 Large lists and groups are cut into tiles. In a first round each tile links its own members, and a
@@ -50,7 +50,8 @@ COORDINATES = 48
 MATCHES = 29  # a pair at 0.85 has fewer with a chance of 1e-5
 LIMIT = 85  # per cent of the union
 TILE = 4096  # members of a tile
-TILE_HASHES = 1 << 22  # hashes of a tile
+TILE_HASHES = 1 << 21  # hashes of a tile
+KEPT = 6  # bytes kept of a hash in a stored set: of two sets of 400, one pair in 10 ** 9 seems to share one more
 PIVOTS = 64
 _SEEDS = np.random.Generator(np.random.PCG64(20_241)).integers(1, 1 << 63, (2, COORDINATES), np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,6 +76,22 @@ def shingle_set(text: bytes, width: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """A sorted set without the low bytes of its hashes."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEPT:].tobytes()
+
+
+def digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def unpacked(data: pa.Buffer) -> np.ndarray:
+    high = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
+    out = np.zeros((len(high), 8), np.uint8)
+    out[:, 8 - KEPT:] = high
+    return out.view("<u8")[:, 0]
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """One row of minima for each set (not empty)."""
     flat = np.concatenate(sets)
@@ -88,11 +105,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def described(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
               width: int = WORDS) -> DataFrame:
-    """row, doc_id, n_shingles and, for documents with words, digest, tokens, sketch, hashes."""
+    """row, doc_id, n_shingles and, for documents with words, digest, tokens, sketch."""
     slim = docs.select(F.col(id_column).alias("doc_id"), text_bytes(text_column).alias("text"))
     schema = slim.select("doc_id").schema
     for name, kind in (("n_shingles", LongType()), ("digest", BinaryType()), ("tokens", ArrayType(LongType())),
-                       ("sketch", BinaryType()), ("hashes", BinaryType())):
+                       ("sketch", BinaryType())):
         schema = schema.add(name, kind)
     places = np.arange(1, COORDINATES + 1, dtype=np.uint64) * _MIX
 
@@ -109,14 +126,32 @@ def described(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                 at += bool(len(s))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.binary()),
-                pa.array([s.tobytes() if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "tokens", "sketch", "hashes"])
+                pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "tokens", "sketch"])
 
     return slim.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
+    """wanted (node, of_id, of_digest, ...) with the hashes of each node, from a second reading of the texts: only
+    sets that have a possible partner are worth keeping, so none is stored before that is known."""
+    slim = docs.select(F.col(id_column).alias("doc_id"), text_bytes(text_column).alias("text"))
+    schema = slim.select("doc_id").schema.add("digest", BinaryType()).add("hashes", BinaryType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 500):
+            sets = [shingle_set(t, width) for t in rows_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([packed(s) if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "digest", "hashes"])
+
+    same = (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+    return (slim.mapInArrow(run, schema).join(wanted, same).drop("doc_id", "digest", "of_id", "of_digest")
+            .dropDuplicates(["node"]))
+
+
 def prefixes(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     """node, sketch, token, n: the tokens to post for each class (node, tokens, sketch), and how many
     classes hold each."""
@@ -172,9 +207,9 @@ def _linked(left: _Members, right: _Members, i: np.ndarray, j: np.ndarray, limit
 def _joins(left: _Members, right: _Members, matches: int, limit: int) -> Iterator[tuple[int, int]]:
     """Links between left and right that join two components, by falling count of matches."""
     same = left is right
-    for start in range(0, len(left.node), 512):
-        counts = _counts(left.sketch[start:start + 512], right.sketch)
-        open_pairs = (counts >= matches) & (left.comp[start:start + 512][:, None] != right.comp)
+    for start in range(0, len(left.node), 128):
+        counts = _counts(left.sketch[start:start + 128], right.sketch)
+        open_pairs = (counts >= matches) & (left.comp[start:start + 128][:, None] != right.comp)
         if same:
             open_pairs &= np.arange(start, start + len(counts))[:, None] < np.arange(len(right.node))
         at_i, at_j = np.nonzero(open_pairs)
@@ -209,7 +244,7 @@ def _compare(matches: int, limit: int, with_sets: bool) -> Callable:
         whole = pa.Table.from_batches(rows)
         numbers = [whole[c].to_numpy() for c in ("node", "comp")]
         sketch = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint8).reshape(len(numbers[0]), -1)
-        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in whole["hashes"]] if with_sets else None
+        sets = [unpacked(s.as_buffer()) for s in whole["hashes"]] if with_sets else None
         return _Members(*numbers, sketch, sets)
 
     def pairs_only(batch: pa.RecordBatch, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -300,17 +335,19 @@ def spanning_links(members: DataFrame, tiles: Column, share: Column, matches: in
     return found.unionByName(links(crowd.join(main, "key"), rest, False)).distinct()
 
 
-def links(described_rows: DataFrame, classes: DataFrame, matches: int = MATCHES, limit: int = LIMIT,
-          tile: int = TILE, tile_hashes: int = TILE_HASHES) -> DataFrame:
-    """Exact links (a, b) between classes that span all groups."""
+def links(described_rows: DataFrame, classes: DataFrame, sets: Callable[[DataFrame], DataFrame],
+          matches: int = MATCHES, limit: int = LIMIT, tile: int = TILE, tile_hashes: int = TILE_HASHES) -> DataFrame:
+    """Exact links (a, b) between classes that span all groups; sets adds the hashes to wanted rows."""
     members = described_rows.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
     posted = stored(prefixes(members.select(F.col("row").alias("node"), "tokens", "sketch"), matches), "postings")
     no_sets = posted.select(F.col("token").alias("key"), "node", "sketch", F.lit(None).cast("binary").alias("hashes"), "n")
     near = spanning_links(no_sets, F.ceil(F.col("n") / tile), F.lit(float(PIVOTS)) / F.col("n"), matches, limit, False)
     groups = stored(components(near), "groups")
     weight = F.greatest(F.col("n_shingles"), F.lit(tile_hashes // tile))
-    full = stored(described_rows.join(groups, F.col("row") == F.col("node")).select(
-        F.col("root").alias("key"), "node", "sketch", "hashes", weight.alias("weight")), "grouped-sets")
+    wanted = stored(described_rows.join(groups, F.col("row") == F.col("node")).select(
+        F.col("root").alias("key"), "node", "sketch", weight.alias("weight"), F.col("doc_id").alias("of_id"),
+        F.col("digest").alias("of_digest")), "wanted-sets")
+    full = stored(sets(wanted), "grouped-sets")
     large = stored(full.groupBy("key").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("members"))
                    .where(F.col("total") > tile_hashes)
                    .select("key", F.ceil(F.col("total") / tile_hashes).alias("parts"), "members"), "large-groups")
@@ -326,7 +363,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = stored(described(docs, id_column, text_column, width), "shingle-sets")
     classes = stored(rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
-    roots = stored(components(links(rows, classes, **options)), "roots").withColumnRenamed("node", "_node")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        return full_sets(docs, wanted, id_column, text_column, width)
+
+    roots = stored(components(links(rows, classes, sets, **options)), "roots").withColumnRenamed("node", "_node")
     rooted = stored(classes.join(roots, F.col("node") == F.col("_node"), "left").select(
         "digest", "least", F.coalesce("root", "node").alias("root")), "rooted")
     firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
