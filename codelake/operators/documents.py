@@ -9,6 +9,8 @@ from codelake.functions.paths import (DOCUMENT_PATTERNS, document_format, docume
                                       document_type, matches_any)
 from codelake.functions.text import occurrences, row_id, word_count
 from codelake.operators.versions import latest_by_key
+from codelake.session import new_folder
+from codelake.sources.tables import TableStore
 
 KEY = ["project_id", "file_path"]
 
@@ -35,6 +37,31 @@ def index_documents(files: DataFrame, indexed_at=None) -> DataFrame:
         when.alias("indexed_at"), F.lit("{}").alias("metadata"))
 
 
+def store_documents(store: TableStore, files: DataFrame, indexed_at=None) -> DataFrame:
+    """Keep the stored documents table current with a scan; (metric, value) of the run.
+
+    A document whose stored hash is the same is skipped; a new or changed one is indexed and replaces its old row,
+    in the folders of changed files only; one without content (it could not be read) is counted as failed and
+    keeps its old row. Documents that the scan does not hold stay. Running it again skips everything."""
+    table, chosen = store.bucketed("documents"), select_documents(files)
+    known = table.read().select(*KEY, F.col("content_hash").alias("_old"))
+    new_hash = F.sha2("content", 256)
+    status = (F.when(F.col("content").isNull(), "failed").when(F.col("_old").eqNullSafe(new_hash), "skipped")
+              .otherwise("indexed"))
+    # Written out, because the status must not move once the table does.
+    path = new_folder(store.spark, "document-status")
+    (chosen.join(known, KEY, "left").select(*KEY, status.alias("status"), word_count("content").alias("words"))
+     .write.parquet(path))
+    run = store.spark.read.parquet(path)
+    todo = run.where("status = 'indexed'").select(*KEY)
+    table.replace_files(index_documents(chosen.join(todo, KEY, "left_semi"), indexed_at), todo)
+    counts = run.agg(*[F.count_if(F.col("status") == s).alias(f"files_{s}") for s in ("indexed", "skipped", "failed")],
+                     F.coalesce(F.sum(F.when(F.col("status") == "indexed", F.col("words"))), F.lit(0))
+                     .cast("bigint").alias("total_words"))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"))
+                                             for c in counts.columns])).alias("m")).select("m.*")
+
+
 def document_totals(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count(F.lit(1)).alias("files_indexed"),
                          F.coalesce(F.sum("word_count"), F.lit(0)).alias("total_words"))

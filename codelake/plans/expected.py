@@ -532,7 +532,14 @@ def _tables() -> dict[str, str]:
             FROM orders WHERE o_orderstatus <> 'F'""",
         "t4_sql": """SELECT event_type, count(*) AS n, max(value) AS top FROM events
             WHERE value > 5 GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3""",
+        "t4_store_sql": _with(symbols=_all(SYMBOLS)) + """ SELECT s.kind, count(*) AS n,
+            count(DISTINCT p.p_brand) AS brands FROM symbols s JOIN part p
+            ON p.p_partkey = CAST(regexp_extract(s.file_path, 'm([0-9]+)', 1) AS BIGINT) GROUP BY s.kind""",
         "t5_export_import": "SELECT * FROM customer",
+        "t5_json_and_parquet": "SELECT *, unnest(['json', 'parquet']) AS format FROM customer",
+        "t5_rejects": """SELECT CASE WHEN c_custkey % 10 = 3 THEN 'reject' ELSE 'row' END AS kind,
+            CASE WHEN c_custkey % 10 <> 3 THEN c_custkey END AS k, CASE WHEN c_custkey % 10 = 3
+            THEN '{"k": x' || c_custkey || ', "c_name": "' || c_name || '"}' ELSE c_name END AS text FROM customer""",
         "t6_read_table": f"""SELECT {_EVENTS} FROM (SELECT * FROM events WHERE
             ts >= TIMESTAMP '2024-01-03 00:00:00' ORDER BY ts, event_id LIMIT 500 OFFSET 20)""",
         "t7_table_stats": stats,
@@ -571,6 +578,12 @@ def _documents() -> dict[str, str]:
     return {
         "d1_index_documents": base + """ SELECT project_id, file_path, doc_type, title, format,
             word_count, content_hash FROM docs""",
+        "d1_store_documents": base + """, f AS (SELECT *, doc_id % 9 = 0 AS failed,
+              doc_id % 9 <> 0 AND (doc_id % 7 = 3 OR doc_id % 10 = 0) AS todo FROM docs)
+            SELECT unnest(['files_indexed', 'files_skipped', 'files_failed', 'total_words', 'stored']) AS metric,
+              unnest([count(*) FILTER (todo), count(*) FILTER (NOT todo AND NOT failed), count(*) FILTER (failed),
+                CAST(sum(word_count + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END) FILTER (todo) AS BIGINT),
+                count(*) FILTER (NOT failed OR doc_id % 7 <> 3)]) AS value FROM f""",
         "d1_document_totals": base + """ SELECT count(*) AS files_indexed,
             CAST(sum(word_count) AS BIGINT) AS total_words FROM docs""",
         "d2_select_documents": base + " SELECT file_path FROM docs",

@@ -126,6 +126,41 @@ def t5_export_import(spark, sf):
     return T.import_rows(spark, path, "csv", customer.schema)
 
 
+@query
+def t4_store_sql(spark, sf):
+    """Free SQL over stored tables: a plain one, and the symbols in their buckets."""
+    store = T.TableStore(spark, new_folder(spark, "t4"))
+    store.append("pieces", load(spark, sf, "part"))
+    store.bucketed("symbols").append(index(spark, sf).read("symbols"))
+    return store.sql("SELECT s.kind, count(*) AS n, count(DISTINCT p.p_brand) AS brands FROM symbols s JOIN pieces p "
+                     "ON p.p_partkey = CAST(regexp_extract(s.file_path, 'm([0-9]+)', 1) AS BIGINT) GROUP BY s.kind")
+
+
+@query
+def t5_json_and_parquet(spark, sf):
+    customer = load(spark, sf, "customer")
+    path = new_folder(spark, "t5f")
+    for fmt in ("json", "parquet"):
+        T.export_rows(customer, f"{path}/{fmt}", fmt)
+    return reduce(DataFrame.unionByName, [
+        T.import_rows(spark, f"{path}/{fmt}", fmt, customer.schema).withColumn("format", F.lit(fmt))
+        for fmt in ("json", "parquet")])
+
+
+@query
+def t5_rejects(spark, sf):
+    """Rows and rejects of files in which every tenth key is no number."""
+    path, key = new_folder(spark, "t5r"), F.col("c_custkey")
+    shown = F.when(key % 10 == 3, F.concat(F.lit("x"), key)).otherwise(key.cast("string"))
+    customer = load(spark, sf, "customer").select(shown.alias("k"), "c_name")
+    customer.select(F.concat(F.lit('{"k": '), "k", F.lit(', "c_name": "'), "c_name", F.lit('"}'))).write.text(f"{path}/json")
+    schema = customer.withColumn("k", F.lit(0).cast("bigint")).schema
+    rows, bad = T.import_checked(spark, f"{path}/json", "json", schema)
+    none = F.lit(None).cast("bigint")
+    out = rows.select(F.lit("row").alias("kind"), "k", F.col("c_name").alias("text"))
+    return out.unionByName(bad.select(F.lit("reject").alias("kind"), none.alias("k"), F.col("record").alias("text")))
+
+
 @query
 def t6_read_table(spark, sf):
     page = T.read_rows(load(spark, sf, "events"), ["ts", "event_id"], limit=500, offset=20,
@@ -417,6 +452,19 @@ def d1_index_documents(spark, sf):
         "project_id", "file_path", "doc_type", "title", "format", "word_count", "content_hash")
 
 
+@query
+def d1_store_documents(spark, sf):
+    """The totals of a second run over stored documents: some new, some changed, some unreadable."""
+    files = feeds.document_files(load(spark, sf, "documents"))
+    store = T.TableStore(spark, new_folder(spark, "d1"))
+    D.store_documents(store, files.where("doc_id % 7 <> 3"), at())
+    content = (F.when(F.col("doc_id") % 9 == 0, F.lit(None).cast("string"))
+               .when(F.col("doc_id") % 10 == 0, F.concat("content", F.lit("\nmore"))).otherwise(F.col("content")))
+    totals = D.store_documents(store, files.withColumn("content", content), at())
+    kept = store.read("documents").agg(F.count(F.lit(1)).alias("value")).select(F.lit("stored").alias("metric"), "value")
+    return totals.unionByName(kept)
+
+
 @query
 def d1_document_totals(spark, sf):
     files = D.select_documents(feeds.document_files(load(spark, sf, "documents")))

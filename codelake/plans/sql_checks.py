@@ -65,6 +65,9 @@ SQL: dict[str, tuple[str, str | None]] = {
     "p7_cube": ("""
         SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders
         GROUP BY CUBE (o_orderstatus, o_orderpriority)""", None),
+    "p7_rollup": ("""
+        SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders
+        GROUP BY ROLLUP (o_orderpriority, o_orderstatus)""", None),
     "p8_windows": ("""
         SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS r,
           lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before,

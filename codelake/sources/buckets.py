@@ -102,8 +102,10 @@ class BucketTable:
         old = self._stored().where(self._inside(touched)).where("file_path IS NOT NULL")
         kept = old.join(gone, F.col("project_id").eqNullSafe(F.col("_p")) & (F.col("file_path") == F.col("_f")),
                         "left_anti")
-        new = rows.select("*", *self._folders()).where(
-            F.assert_true(self._inside(touched), "a row of a file that is not among the changed ones").isNull())
+        # told while the rows are dealt to folders: as a filter it would be moved before the reader's own ones
+        stray = F.raise_error(F.lit("a row of a file that is not among the changed ones")).cast("int")
+        new = rows.select("*", *self._folders()).withColumn(
+            "_bucket", F.when(self._inside(touched), F.col("_bucket")).otherwise(stray))
         self._rewrite(kept.select([*self.schema.names, *FOLDERS])
                       .unionByName(new.select([*self.schema.names, *FOLDERS])), touched)
 

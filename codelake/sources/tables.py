@@ -247,6 +247,24 @@ def import_rows(spark: SparkSession, path: str, fmt: str, schema: T.StructType)
     return reader.format(fmt).load(path)
 
 
+def import_checked(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON or CSV files: a record that is broken, or has a value that does not fit the
+    schema, is a reject (file_path, record) and no row. Both together are the records of the files."""
+    bad = "_record"
+    while bad in schema.names:
+        bad += "_"
+    reader = (spark.read.schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())]))
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad))
+    if fmt == "csv":
+        reader = reader.options(**CSV).option("multiLine", True)
+    # The reader refuses queries that ask for the record alone, so every query asks for all columns.
+    parsed = F.xxhash64(*schema.names) >= F.lit(-(1 << 63))
+    records = reader.format(fmt).load(path).where(parsed)
+    rejects = records.where(F.col(bad).isNotNull()).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col(bad).alias("record"))
+    return records.where(F.col(bad).isNull()).select(schema.names), rejects
+
+
 def export_rows(df: DataFrame, path: str, fmt: str) -> None:
     writer = df.write.mode("errorifexists")
     if fmt == "csv":

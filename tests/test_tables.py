@@ -176,3 +176,40 @@ def test_buckets_of_odd_names(spark, tmp_path):
     assert left == {("1", "x"), ("01", "y"), ("a/b=c %", "x"), ("__HIVE_DEFAULT_PARTITION__x", "x"), ("é", "x"), (None, "x"),
                     ("", "z")}
     assert table.read("").count() == 1 and table.delete_where({"project_id": ""}) == 1 and table.read("").count() == 0
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_rows_and_rejects_are_all_records(spark, tmp_path, fmt):
+    from codelake.sources import tables as T
+    (tmp_path / "in").mkdir()
+    if fmt == "csv":
+        text = 'id,name,score\n1,ann,2.5\nx,bob,1\n3,"two\nlines",4\n4,eve,high\n5,,\n'
+    else:
+        text = ('{"id": 1, "name": "ann", "score": 2.5}\n{"id": "x", "name": "bob", "score": 1}\n{broken\n'
+                '{"id": 3, "name": "two", "score": 4}\n{"id": 5}\n')
+    (tmp_path / "in" / f"a.{fmt}").write_text(text)
+    schema = spark.createDataFrame([], "id long, name string, score double").schema
+    rows, rejects = T.import_checked(spark, str(tmp_path / "in"), fmt, schema)
+    assert sorted(r.id for r in rows.collect()) == [1, 3, 5] and rows.count() == 3
+    assert rows.select("name").count() == 3  # also when few columns are asked for
+    found = rejects.collect()
+    assert len(found) == 2 and rejects.count() == 2 and all(r.file_path.endswith(f"a.{fmt}") for r in found)
+    assert any("x" in r.record for r in found)
+
+
+def test_documents_are_stored_once(spark, tmp_path):
+    from codelake.operators import documents as D
+    store = T.TableStore(spark, str(tmp_path))
+
+    def run(rows):
+        files = spark.createDataFrame(rows, "project_id string, file_path string, content string")
+        return {r.metric.removeprefix("files_"): r.value for r in D.store_documents(store, files).collect()}
+
+    first = [("p", "README.md", "# One\ntwo words"), ("p", "docs/guide.md", "# G\nx"), ("p", "a.py", "no"), ("q", "README", None)]
+    assert run(first) == {"indexed": 2, "skipped": 0, "failed": 1, "total_words": 7}
+    before = _files(tmp_path)
+    assert run(first) == {"indexed": 0, "skipped": 2, "failed": 1, "total_words": 0}
+    assert _files(tmp_path) == before
+    assert run([("p", "README.md", "# One\nthree more words"), ("p", "docs/guide.md", None)])["indexed"] == 1
+    rows = {r.file_path: r.word_count for r in store.read("documents").collect()}
+    assert rows == {"README.md": 5, "docs/guide.md": 3}
