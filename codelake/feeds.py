@@ -180,7 +180,10 @@ def _content(lines: list[str], filler: str):
 
 
 def corpus(part: DataFrame) -> DataFrame:
-    """(project_id, file_path, content): thirty files per project."""
+    """(project_id, file_path, content): thirty files per project.
+
+    The rows are spread before texts are made of them: a small file of them would be one task."""
+    tasks = int(part.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     choice = F.col("p_partkey") % 3
     content = ending = None
     for i, (_, suffix, lines, filler) in TEMPLATES.items():
@@ -188,7 +191,7 @@ def corpus(part: DataFrame) -> DataFrame:
         content = F.when(choice == i, body) if content is None else content.when(choice == i, body)
         end = F.lit(suffix)
         ending = F.when(choice == i, end) if ending is None else ending.when(choice == i, end)
-    return part.select(
+    return part.select("p_partkey", "p_size", "p_brand").repartition(tasks, "p_partkey").select(
         F.concat(F.lit("proj-"), F.floor(F.col("p_partkey") / 30).cast("string"))
         .alias("project_id"),
         F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit("."), ending)

@@ -21,9 +21,11 @@ ENTITIES = ("symbols", "types", "imports", "exports", "scopes", "references")
 class Extraction:
     """The six entity tables of a set of files, each a lazy frame.
 
-    `keep` stores the small frames that several tables share (marked statements, definitions,
-    spans) on the executors' disks while the tables are written; release() drops them. Lines and
-    tokens are large and cheap to recompute, so they are never kept.
+    `keep` stores what several tables share (lines, marked statements, definitions, spans) with the
+    executors while the tables are written, in memory or on their disks; release() drops it. Contents
+    are so shuffled and masked once a family, and the lines keep their layout and order, which later
+    windows use. A lost executor's part is made again from the files. Tokens are many times the lines
+    and cheap to make from them, so they are never kept.
     """
 
     def __init__(self, files: DataFrame, keep: bool = False):
@@ -51,11 +53,11 @@ class Extraction:
 
     @cached_property
     def python_lines(self) -> DataFrame:
-        return lines(spread(self.python_files), "python")
+        return self._hold(lines(spread(self.python_files), "python"))
 
     @cached_property
     def script_lines(self) -> DataFrame:
-        return lines(spread(self.script_files), "script")
+        return self._hold(lines(spread(self.script_files), "script"))
 
     @cached_property
     def definitions(self) -> DataFrame:
