@@ -58,12 +58,32 @@ TOKEN = (r"\s*+(?:[\p{L}_$][\p{L}\p{N}_$]*+|[0-9][\w.]*+|\"'*+|'++|=>|===?|!==?|
 OPEN, CLOSE = "([{", ")]}"
 
 
-def balanced(levels: int = 64) -> str:
-    """Pattern of a bracketed text with brackets nested up to `levels` deep."""
-    inner = r"[\[({][^\[\](){}]*+[\])}]"
-    for _ in range(levels - 1):
-        inner = r"[\[({](?:[^\[\](){}]++|" + inner + r")*+[\])}]"
-    return inner
+BRACKETED = r"[\[({][^\[\](){}]*+[\])}]"  # no brackets inside: what outline() leaves of any depth
+
+
+def outline(code: Column, level: int) -> Column:
+    """The text with all that stands deeper than the brackets of a level filled in, at equal length.
+
+    Brackets up to the level stay, so BRACKETED matches one of that level however deep it nests, and places
+    hold for the text itself. Only what stays is joined piece by piece, which keeps long literals linear.
+    """
+    pieces = F.regexp_extract_all(code, F.lit(r"[\[({]|[\])}]|[^\[\](){}]++"), F.lit(0))
+
+    def step(state: Column, piece: Column) -> Column:
+        opens, closes = piece.isin(*OPEN), piece.isin(*CLOSE)
+        inside = F.when(closes, F.greatest(state["level"] - 1, F.lit(0))).otherwise(state["level"])
+        shown = inside <= level
+        return F.struct(
+            F.when(opens, inside + 1).otherwise(inside).alias("level"),
+            F.when(shown, 0).otherwise(state["hidden"] + F.length(piece)).alias("hidden"),
+            F.when(shown, F.concat(state["text"], F.repeat(F.lit("'"), state["hidden"]), piece))
+            .otherwise(state["text"]).alias("text"))
+
+    start = F.struct(F.lit(0).alias("level"), F.lit(0).alias("hidden"), F.lit("").alias("text"))
+    filled = F.aggregate(pieces, start, step, lambda s: F.concat(
+        s["text"], F.repeat(F.lit("'"), s["hidden"])))
+    nested = code.rlike(r"[\[({][^\[\](){}]*+[\[({]")
+    return F.when(nested, filled).otherwise(code)
 
 
 def _fill(text: Column, char: str) -> Column:

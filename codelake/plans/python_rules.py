@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelake.functions.text import row_id
-from codelake.plans.lines import (KEY, PAST, TOKEN_ORDER, balanced, before, by_file,
-                                  module_scopes, raw_slice)
+from codelake.plans.lines import (BRACKETED, KEY, PAST, TOKEN_ORDER, before, by_file,
+                                  module_scopes, outline, raw_slice)
 
 # Reserved words, which are not references.
 KEYWORDS = ["False", "None", "True", "and", "as", "assert", "async", "await", "break", "class",
@@ -15,9 +15,8 @@ KEYWORDS = ["False", "None", "True", "and", "as", "assert", "async", "await", "b
             "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass",
             "raise", "return", "try", "while", "with", "yield"]
 _BLOCK_WORDS = ["if", "elif", "else", "for", "while", "try", "except", "finally", "with"]
-_NEST = balanced()
 _HEAD = r"^\s*(?:async\s+)?(?:def|class)\s+[\p{L}_][\p{L}\p{N}_]*+\s*+(?:\[[^\]]*+\]\s*+)?"
-_PART = r"(?:[^,\[\](){}]++|" + _NEST + r")++"
+_PART = r"(?:[^,\[\](){}]++|" + BRACKETED + r")++"
 
 
 def visibility(name: Column) -> Column:
@@ -27,17 +26,18 @@ def visibility(name: Column) -> Column:
 
 def _signature() -> Column:
     """Name, raw parameter text and return type; classes list their plain base names."""
-    head = F.length(F.regexp_extract("code", _HEAD, 0))
-    args = F.length(F.regexp_extract("code", _HEAD + "(" + _NEST + ")", 1))
-    rest = F.substring(F.col("code"), head + args + 1, F.lit(1 << 30))
+    outer = outline(F.col("code"), 0)
+    head = F.length(F.regexp_extract(outer, _HEAD, 0))
+    args = F.length(F.regexp_extract(outer, _HEAD + "(" + BRACKETED + ")", 1))
+    rest = F.substring(outer, head + args + 1, F.lit(1 << 30))
     arrow = F.length(F.regexp_extract(rest, r"^\s*->\s*", 0))
     returns = F.length(F.rtrim(F.regexp_extract(
-        rest, r"^\s*->\s*((?:[^:\[\](){}]++|" + _NEST + ")++)", 1)))
+        rest, r"^\s*->\s*((?:[^:\[\](){}]++|" + BRACKETED + ")++)", 1)))
     function = F.concat(
         F.col("name"), raw_slice(head, args),
         F.when(returns > 0, F.concat(F.lit(" -> "), raw_slice(head + args + arrow, returns)))
         .otherwise(""))
-    inner = F.regexp_replace(F.substring(F.col("code"), head + 2, args - 2), _NEST, "()")
+    inner = F.regexp_replace(F.substring(outline(F.col("code"), 1), head + 2, args - 2), BRACKETED, "()")
     bases = F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(F.translate(
         x, "\n\t\r", "   "))), lambda x: x.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$"))
     plain = F.concat(F.lit("class "), F.col("name"))
@@ -156,21 +156,21 @@ def types(statements: DataFrame) -> DataFrame:
     """Aliases (`Upper = expr`) and every variable, parameter and return annotation."""
     used = statements.where("kind in ('def', 'assign')").withColumn(
         "code", F.regexp_replace("code", r"[ \t\r\n\f]+$", ""))
+    used = used.withColumns({"_outer": outline(F.col("code"), 0), "_inner": outline(F.col("code"), 1)})
     name_part = r"^\s*(\p{Lu}\w*)"
-    before_value = name_part + r"\s*(?::(?:[^=\[\](){}]++|" + _NEST + r")++)?=(?!=)\s*"
-    value_at = F.length(F.regexp_extract("code", before_value, 0))
+    before_value = name_part + r"\s*(?::(?:[^=\[\](){}]++|" + BRACKETED + r")++)?=(?!=)\s*"
+    value_at = F.length(F.regexp_extract("_outer", before_value, 0))
     alias = F.when(value_at > 0, F.array(F.struct(
         F.regexp_extract("code", name_part, 1).alias("name"), F.lit("alias").alias("kind"),
         value_at.alias("at"), (F.length("code") - value_at).alias("width"))))
     target = r"^\s*[\p{L}_][\w.]*(?:\[[^\]]*\])?\s*:(?!=)\s*"
-    note = r"((?:[^=\[\](){}]++|" + _NEST + ")++)"
-    var_at = F.length(F.regexp_extract("code", target, 0))
+    note = r"((?:[^=\[\](){}]++|" + BRACKETED + ")++)"
+    var_at = F.length(F.regexp_extract("_outer", target, 0))
     variable = F.when((var_at > 0) & (F.col("kind") == "assign"), F.array(_note(
-        var_at, F.length(F.rtrim(F.regexp_extract("code", target + note, 1))))))
-    head = F.length(F.regexp_extract("code", _HEAD, 0))
-    args = F.regexp_extract("code", _HEAD + "(" + _NEST + ")", 1)
-    parts = F.regexp_extract_all(F.substring(args, F.lit(2), F.length(args) - 2), F.lit(_PART),
-                                 F.lit(0))
+        var_at, F.length(F.rtrim(F.regexp_extract("_outer", target + note, 1))))))
+    head = F.length(F.regexp_extract("_outer", _HEAD, 0))
+    args = F.length(F.regexp_extract("_outer", _HEAD + "(" + BRACKETED + ")", 1))
+    parts = F.regexp_extract_all(F.substring(F.col("_inner"), head + 2, args - 2), F.lit(_PART), F.lit(0))
 
     def parameter(p: Column, i: Column) -> Column:
         start = head + 1 + i + F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0),
@@ -181,14 +181,14 @@ def types(statements: DataFrame) -> DataFrame:
         return F.when((lead > 0) & (width > 0), _note(start + lead, width))
 
     is_function = (F.col("kind") == "def") & ~F.col("code").rlike(r"^\s*class\b")
-    params = F.when(is_function & (F.length(args) > 2), F.filter(
+    params = F.when(is_function & (args > 2), F.filter(
         F.transform(parts, parameter), lambda x: x.isNotNull()))
-    rest = F.substring(F.col("code"), head + F.length(args) + 1, F.lit(1 << 30))
+    rest = F.substring(F.col("_outer"), head + args + 1, F.lit(1 << 30))
     arrow = F.length(F.regexp_extract(rest, r"^\s*->\s*", 0))
     width = F.length(F.rtrim(F.regexp_extract(
-        rest, r"^\s*->\s*((?:[^:\[\](){}]++|" + _NEST + ")++)", 1)))
+        rest, r"^\s*->\s*((?:[^:\[\](){}]++|" + BRACKETED + ")++)", 1)))
     returned = F.when(is_function & (arrow > 0),
-                      F.array(_note(head + F.length(args) + arrow, width)))
+                      F.array(_note(head + args + arrow, width)))
     none = F.expr("cast(array() as array<struct<name string, kind string, at int, width int>>)")
     rows = used.select(*KEY, "line_no", "raw", "code", F.explode(F.concat(*[
         F.coalesce(x, none) for x in (alias, variable, params, returned)])).alias("t"))

@@ -165,3 +165,29 @@ def test_no_python_in_the_plan_and_one_shuffle(work):
         plan = work.python(entity)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan
         assert plan.count("Exchange hashpartitioning") == 1, entity
+
+
+@pytest.mark.parametrize("levels", [3, 70, 190])
+def test_brackets_of_any_depth_match_the_standard_parser(files, levels):
+    deep = "dict[str, " * levels + "int" + "]" * levels
+    value = "(" * levels + "1, 2" + ",)" * levels
+    text = (f"def one(a: {deep}, b=f({value[1:-2]}), *c: Q[{deep[10:-1]}]) -> {deep}:\n    return a\n"
+            f"class Two(Base[{deep[10:-1]}], Plain):\n    y: {deep} = 3\n    z: int = {value}\nAlias = {deep}\n")
+    tree = ast.parse(text)
+    notes = sorted(ast.get_source_segment(text, n) for n in [
+        *(a.annotation for f in ast.walk(tree) if isinstance(f, ast.FunctionDef)
+          for a in [*f.args.args, f.args.vararg] if a.annotation),
+        *(n.annotation for n in ast.walk(tree) if isinstance(n, ast.AnnAssign)), tree.body[0].returns])
+    out = Extraction(files({"a.py": text}))
+    found = out.table("types").collect()
+    assert sorted(r.type_expression for r in found if r.kind == "annotation") == notes
+    assert [r.type_expression for r in found if r.kind == "alias"] == [deep]
+    signature = {r.name: r.signature for r in out.table("symbols").collect()}
+    assert signature == {"one": text[len("def "):text.index(":\n")], "Two": "class Two(Plain)"}
+
+
+def test_unbalanced_and_long_literals(files):
+    rows = ", ".join(f"({i}, [{i}])" for i in range(20_000))
+    out = Extraction(files({"a.py": f"X: list[int] = [{rows}]\ndef open(a: list[int\n", "b.py": "Y: int = 1)]\n"}))
+    found = {(r.file_path, r.kind, r.type_expression[:9]) for r in out.table("types").collect()}
+    assert found >= {("a.py", "annotation", "list[int]"), ("a.py", "alias", "[(0, [0])"), ("b.py", "annotation", "int")}
