@@ -594,6 +594,11 @@ def _documents() -> dict[str, str]:
         "d5_search_documents": base + """ SELECT * FROM (SELECT file_path, title, word_count,
             CAST((length(lower(content)) - length(replace(lower(content), 'the', ''))) // 3
             AS BIGINT) AS hits FROM docs WHERE project_id = 'src5') WHERE hits > 0""",
+        "d5_search_by_index": base + """ SELECT needle, file_path, title, word_count,
+            CAST((length(lower(content)) - length(replace(lower(content), lower(needle), '')))
+            // length(needle) AS BIGINT) AS hits
+            FROM docs, (VALUES ('The'), ('Heading 1'), ('ea')) n(needle)
+            WHERE project_id = 'src5' AND contains(lower(content), lower(needle))""",
         "d6_document_breakdown": base + """ SELECT doc_type, count(*) AS documents,
             CAST(sum(word_count) AS BIGINT) AS words FROM docs GROUP BY doc_type""",
         "d6_concept_coverage": base + """ SELECT t.term, count(d.file_path) AS documents FROM

@@ -12,6 +12,7 @@ from codelake import feeds
 from codelake.operators import code_queries as C
 from codelake.operators import documents as D
 from codelake.operators import graph as G
+from codelake.operators import search_index as SI
 from codelake.operators import sessions as S
 from codelake.operators import todos as K
 from codelake.operators import versions as V
@@ -497,6 +498,20 @@ def d5_search_documents(spark, sf):
     return longs(D.search_documents(document_rows(spark, sf), "src5", "The"), "word_count")
 
 
+@query
+def d5_search_by_index(spark, sf):
+    """Stored documents, indexed in two runs, searched for a frequent text, a rare one and one without triples."""
+    files = D.select_documents(feeds.document_files(load(spark, sf, "documents")))
+    store = T.TableStore(spark, new_folder(spark, "d5"))
+    D.store_documents(store, files.where("doc_id % 7 <> 3"), at())
+    SI.index_texts(store)
+    D.store_documents(store, files, at())
+    SI.index_texts(store, files.where("doc_id % 7 = 3"))
+    found = [SI.search_by_index(store, "src5", needle).select(F.lit(needle).alias("needle"), "*")
+             for needle in ("The", "Heading 1", "ea")]
+    return longs(reduce(DataFrame.unionByName, found), "word_count")
+
+
 @query
 def d6_document_breakdown(spark, sf):
     files = D.select_documents(feeds.document_files(load(spark, sf, "documents")))
