@@ -76,28 +76,32 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From bits of triples by slot to bits of slots by triple; rows come ordered by page, one is held."""
-    def rows(key: tuple, page: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(page.shape[1]):
-            if page[:, i].any():
-                bits = np.packbits(np.unpackbits(page[:, i:i + 1], axis=1, bitorder="little"), axis=0,
-                                   bitorder="little").T
-                some = np.flatnonzero(bits.any(axis=1))
+    def rows(key: tuple, places: list[int], held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        slots, bits = np.array(places), np.frombuffer(b"".join(held), np.uint8).reshape(len(held), -1)
+        for start in range(0, bits.shape[1], 16):
+            doc, triple = np.nonzero(np.unpackbits(bits[:, start:start + 16], axis=1, bitorder="little"))
+            some, row = np.unique(triple, return_inverse=True)
+            if len(some):
+                out = np.zeros((len(some), SLOTS), np.uint8)
+                out[row, slots[doc]] = 1
+                out = np.packbits(out, axis=1, bitorder="little")
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([v] * len(some), pa.int32()) for v in key), pa.array(i * 8 + some, pa.int32()),
-                     pa.array([bits[t].tobytes() for t in some], pa.binary())],
+                    [*(pa.array([v] * len(some), pa.int32()) for v in key), pa.array(start * 8 + some, pa.int32()),
+                     pa.array([x.tobytes() for x in out], pa.binary())],
                     names=["_project", "_bucket", "pages", "page", "triple", "bits"])
 
-    at = page = None
+    at, places, held = None, [], []
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(6)]
-        for *key, place, held in zip(*columns, strict=True):
-            if key != at:
-                if at is not None:
-                    yield from rows(tuple(at), page)
-                at, page = key, np.zeros((SLOTS, TRIPLES // 8), np.uint8)
-            page[place] |= np.frombuffer(held, np.uint8)
-    if at is not None:
-        yield from rows(tuple(at), page)
+        for *key, place, one in zip(*columns, strict=True):
+            if key != at and held:
+                yield from rows(tuple(at), places, held)
+                places, held = [], []
+            at = key
+            places.append(place)
+            held.append(one)
+    if held:
+        yield from rows(tuple(at), places, held)
 
 
 def _path(store: TableStore) -> str:
@@ -128,11 +132,13 @@ def index_texts(store: TableStore, changed: DataFrame | None = None) -> None:
     folders = [(*f, 1 << max(0, (n - 1) // DOCUMENTS).bit_length()) for f, n in sizes.items()]
     pages = store.spark.createDataFrame(folders, "_project int, _bucket int, pages int")
     place = [*FOLDERS, "pages", "page"]
+    # Bits of a page are many times the bytes shuffled, so the number of tasks follows the pages.
+    tasks = max(int(store.spark.conf.get("spark.sql.shuffle.partitions")), sum(n for *_, n in folders) // 8)
     rows = docs.join(F.broadcast(pages), FOLDERS).select(
         *FOLDERS, "pages", _page().alias("page"), _place().alias("place"),
         F.coalesce(F.lower("content"), F.lit("")).cast("binary").alias("text"))
     bits = (rows.mapInArrow(_signatures, "_project int, _bucket int, pages int, page int, place int, held binary")
-            .repartition(*place).sortWithinPartitions(*place).mapInArrow(_turned, _SCHEMA))
+            .repartition(tasks, *place).sortWithinPartitions(*place).mapInArrow(_turned, _SCHEMA))
     # A folder without documents is overwritten by a row without a triple.
     empty = store.spark.createDataFrame([f for f in touched or [] if f not in sizes], "_project int, _bucket int")
     empty = empty.select(*FOLDERS, F.lit(1).alias("pages"), *[F.lit(None).cast(t).alias(c) for c, t in (
