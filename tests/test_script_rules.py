@@ -148,3 +148,25 @@ def test_any_number_of_modifiers(files):
     assert {n: (r.start_line, r.start_col, r.is_static, r.is_async) for n, r in rows.items() if n != "A"} == {
         "go": (2, 2, True, True), "all": (3, 2, True, True), "one": (5, 2, False, False), "two": (6, 2, False, False),
         "static": (7, 2, False, False)}
+
+
+def test_tokens_sort_once_and_keep_their_columns(spark, files):
+    """Columns past tabs, wide letters, blanks at line ends, and a file that is there twice."""
+    from codelake.plans.lines import lines, spread, text_bytes, tokens
+
+    both = files({"a.js": "\tlet é = f(1) ;\t \n\n  \x0bg(é,\t2)\n"})
+    rows = lines(spread(both, text_bytes(both)), "script")
+    got = [(r.line_no, r.tok, r.col, r.end_col) for r in tokens(rows).orderBy("line_no", "idx").collect()]
+    assert got == [(1, "let", 1, 4), (1, "é", 5, 7), (1, "=", 8, 9), (1, "f", 10, 11), (1, "(", 11, 12), (1, "1", 12, 13),
+                   (1, ")", 13, 14), (1, ";", 15, 16), (3, "g", 3, 4), (3, "(", 4, 5), (3, "é", 5, 7), (3, ",", 7, 8),
+                   (3, "2", 9, 10), (3, ")", 10, 11)]
+    plan = tokens(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2  # one of lines, one of tokens
+
+
+def test_tasks_follow_the_text(spark, files):
+    from codelake.plans.lines import BYTES_PER_TASK, spread, text_bytes
+
+    some = files({"a.js": "x" * 1000, "b.js": "é" * 500, "c.js": None})
+    assert text_bytes(some) == 2000
+    assert spread(some, 9 * BYTES_PER_TASK).rdd.getNumPartitions() == 9

@@ -213,3 +213,13 @@ def test_documents_are_stored_once(spark, tmp_path):
     assert run([("p", "README.md", "# One\nthree more words"), ("p", "docs/guide.md", None)])["indexed"] == 1
     rows = {r.file_path: r.word_count for r in store.read("documents").collect()}
     assert rows == {"README.md": 5, "docs/guide.md": 3}
+
+
+def test_many_partition_folders_get_one_file_each(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 6).select(F.col("id"), (F.col("id") % 40).alias("part"))
+    store = T.TableStore(spark, str(tmp_path))
+    store.append("t", rows, partition_by=["part"])
+    files = [f for f in (tmp_path / "t").rglob("*.parquet") if f.is_file()]
+    assert len(files) == 40
+    assert store.delete_where("t", {"part": 7}) == 10
+    assert sorted(r.id for r in store.read("t").collect()) == [i for i in range(400) if i % 40 != 7]
