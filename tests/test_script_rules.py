@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from codelake.plans.index import Extraction
 
@@ -170,3 +171,19 @@ def test_tasks_follow_the_text(spark, files):
     some = files({"a.js": "x" * 1000, "b.js": "é" * 500, "c.js": None})
     assert text_bytes(some) == 2000
     assert spread(some, 9 * BYTES_PER_TASK).rdd.getNumPartitions() == 9
+
+
+def test_windows_carry_the_text_of_one_token(spark, files):
+    """Words are told apart by their codes, and rows hold no text but their own token and a name after it."""
+    from codelake.plans.script_rules import KEYWORDS, _is, _named, coded
+
+    words = spark.createDataFrame([(w,) for w in [*KEYWORDS, "é1", "$x", '"\'\'', "=>", "{", "?.", "1a"]], "tok string")
+    rows = words.select("tok", coded(F.col("tok")).alias("code"), F.lit(None).cast("bigint").alias("none"))
+    got = rows.select("tok", _named("code").alias("named"), _is("code", *KEYWORDS).alias("key"),
+                      _is(F.col("code"), "=>", "{").alias("sign"), _is("none", "=>").alias("nothing")).collect()
+    assert all(r.named == (r.tok[0].isalpha() or r.tok[0] == "$") and r.key == (r.tok in KEYWORDS)
+               and r.sign == (r.tok in ("=>", "{")) and not r.nothing for r in got)
+    found = Extraction(files({"a.ts": "class A {}\nlet b = () => 1\n"}))
+    texts = {f.name for f in found.script_tokens.schema if f.dataType.simpleString() == "string"}
+    assert texts - {"project_id", "file_path"} == {"tok", "next_tok"}
+    assert {r.next_tok for r in found.script_tokens.collect()} == {None, "A"}
