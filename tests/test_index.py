@@ -119,3 +119,22 @@ def test_innermost_scope_against_brute_force(spark, spans):
                    and s.start_line <= r.line <= s.end_line]
         best = max(holding, key=lambda s: s.depth).scope_id if holding else None
         assert r.scope_id == best
+
+
+def test_numbered_files_get_their_keys_back(spark):
+    """A null is told apart from other keys, repeated files count once, and neither side is shuffled again."""
+    from codelake.plans.index import Extraction
+    from codelake.plans.lines import named
+
+    keys = [("p", "a.py"), ("p", None), (None, "p"), ("", "p"), ("pa", ".py"), ("p", "b.py"), ("p", "b.py")]
+    files = spark.createDataFrame([(*k, "python", "def f(): pass\n") for k in keys],
+                                  "project_id string, file_path string, language string, content string")
+    work = Extraction(files)
+    assert [f.dataType.simpleString() for f in work.python_lines.schema[:2]] == ["bigint", "bigint"]
+    back = named(work.python_lines, work.python_keys)
+    assert {(r.project_id, r.file_path) for r in back.collect()} == set(keys)
+    assert back.where("line_no = 1 AND project_id = 'p' AND file_path = 'b.py'").count() == 2
+    assert work.python_keys.count() == len(set(keys))
+    assert {(r.project_id, r.file_path) for r in work.python("symbols").collect()} == set(keys)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
