@@ -14,16 +14,26 @@ from codelake.sources import scan as I
 from codelake.sources import tables as T
 
 
+def _folder_name(column: str):
+    """A value as Spark names the folder of a partition: odd characters as %XX, a name of its own for null and empty."""
+    odd = [*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"]
+    pairs = F.create_map(*[F.lit(x) for c in odd for x in (c, f"%{ord(c):02X}")])
+    text = F.col(column).cast("string")
+    shown = F.when(text.rlike(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]"""), F.array_join(F.transform(
+        F.split(text, ""), lambda c: F.coalesce(pairs[c], c)), "")).otherwise(text)
+    return F.coalesce(F.nullif(shown, F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+
+
 def i1_scan_contents(spark, sf):
     """Texts written as files of a source and at most fifty ids each, scanned back with content."""
     folder = new_folder(spark, "i1")
     docs = load(spark, sf, "documents").select("source", "doc_id", "text", F.floor(F.col("doc_id") / 50).alias("part"))
-    (docs.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id")
-     .select("source", "part", "text").write.partitionBy("source", "part").text(folder))
+    path = F.concat(F.lit("source="), _folder_name("source"), F.lit("/part="), _folder_name("part"), F.lit(".txt"))
+    I.write_texts(docs.select(path.alias("file_path"), "doc_id", "text"), folder, ["doc_id"])
     files = I.scan_files(spark, folder, extensions=[".txt"], max_bytes=1 << 30)
     facts = I.file_facts(files)
     name = F.concat_ws("/", F.regexp_extract("file_path", "source=([^/]*)", 1),
-                       F.regexp_extract("file_path", "part=([^/]*)", 1))
+                       F.regexp_extract("file_path", r"part=([^/]*)\.txt$", 1))
     return facts.select(name.alias("name"), "content_hash",
                         "byte_size", "line_count", F.sha2("content", 256).alias("decoded_hash"))
 
