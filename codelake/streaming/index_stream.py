@@ -27,24 +27,24 @@ from codelake.sources.tables import TableStore
 
 FILES = ("project_id string, file_path string, language string, content_hash string, "
          "line_count bigint, byte_size bigint, batch_id bigint")
+CHANGED = ["project_id", "file_path", "content", "content_hash", "arrival"]
 CHANGES = "project_id string, file_path string, content string, content_hash string, arrival bigint"
 
 
 def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The newest row of a file, if it changes what the state knows: (arrival, hash; empty: deleted)."""
-    best = None
-    for frame in frames:
-        order = frame.sort_values(["arrival", "content_hash"])
-        row = order.iloc[-1]
-        if best is None or (row.arrival, row.content_hash) > (best.arrival, best.content_hash):
-            best = row
+    best, found = None, None
+    for frame in frames:  # nearly all groups are one row, so columns are read as lists and rows are cut out by place
+        order = list(zip(map(int, frame["arrival"].tolist()), frame["content_hash"].tolist(), strict=True))
+        at = max(range(len(order)), key=order.__getitem__)
+        if best is None or order[at] > best:
+            best, found = order[at], frame.iloc[at:at + 1]
     arrival, known = state.get if state.exists else (None, "")
-    if arrival is not None and best.arrival <= arrival:
+    if arrival is not None and best[0] <= arrival:
         return
-    state.update((int(best.arrival), best.content_hash))
-    if best.content_hash != known:
-        yield pd.DataFrame({"project_id": [key[0]], "file_path": [key[1]], "content": [best.content],
-                            "content_hash": [best.content_hash], "arrival": [int(best.arrival)]})
+    state.update(best)
+    if best[1] != known:
+        yield found[CHANGED]
 
 
 def changed_files(source: DataFrame, order: str) -> DataFrame:

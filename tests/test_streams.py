@@ -166,3 +166,24 @@ def test_todo_defaults(spark):
                                     "todo_id string, title string, status string")
     got = sorted(K.upsert_todos(base, changes).collect())
     assert got == [("1", "a", "done", "high"), ("2", "b", "open", "medium")]
+
+
+def test_newest_of_a_group_is_told_without_building_frames(monkeypatch):
+    import pandas as pd
+
+    class State:
+        def __init__(self, known=None):
+            self.exists, self.get, self.new = known is not None, known, None
+
+        def update(self, value):
+            self.new = value
+
+    def frame(*rows):
+        return pd.DataFrame([("p", "f", *r) for r in rows], columns=index_stream.CHANGED)
+
+    frames = [frame(("a", "1", 2), ("b", "2", 2), ("c", "0", 1)), frame((None, "", 2))]
+    monkeypatch.setattr(index_stream.pd, "DataFrame", None)  # one of these for each file was most of the time
+    for known, new, want in ((None, (2, "2"), ["b"]), ((1, "2"), (2, "2"), []), ((2, "9"), None, []), ((1, "9"), (2, "2"), ["b"])):
+        state = State(known)
+        got = [v for f in index_stream._newest(("p", "f"), iter(frames), state) for v in f["content"]]
+        assert (got, state.new) == (want, new)
