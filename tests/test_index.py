@@ -138,3 +138,35 @@ def test_numbered_files_get_their_keys_back(spark):
     assert {(r.project_id, r.file_path) for r in work.python("symbols").collect()} == set(keys)
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+
+
+def test_no_extracted_rows_are_broadcast(spark):
+    """Estimates make computed rows small whatever the corpus: joined with the keys of their files, neither side moves."""
+    from codelake.plans.index import Extraction
+
+    path, text = F.when(F.col("id") == 0, "a.py").otherwise("b.ts"), F.lit("import os\nfunction f() {}\n")
+    work = Extraction(spark.range(2).select(F.lit("p").alias("project_id"), path.alias("file_path"), text.alias("content")))
+    for family in (work.python, work.script):
+        for entity in ENTITIES:
+            assert "Broadcast" not in family(entity)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_tokens_are_passed_over_few_times(spark, files):
+    """One pass of windows over the lines, then as few as the rules allow over the tokens, which are many."""
+    from codelake.plans.index import Extraction
+
+    work = Extraction(files({"a.py": "def f(): pass\n", "b.ts": "function f() {}\n"}))
+    passes = [df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+              for df in (work.python("references"), work.script_tokens, work.definitions)]
+    assert passes == [3, 3, 5]
+
+
+def test_decorators_and_ends_of_definitions(files):
+    """Rows deeper than any definition are left out early; decorators and ends stay right."""
+    from codelake.plans.index import Extraction
+
+    text = ("@one\nclass A:\n    x = 1\n    if x:\n        @two(\n            3)\n        @four\n        def f(self):\n            return 5\n"
+            "    y = 6\n@lost\nz = 7\ndef g():\n        return 8\n")
+    rows = Extraction(files({"a.py": text})).table("symbols").collect()
+    assert {r.name: (r.qualified_name, list(r.decorators), r.start_line, r.end_line) for r in rows} == {
+        "A": ("A", ["@one"], 2, 10), "f": ("A.f", ["@two(\n            3)", "@four"], 8, 9), "g": ("g", [], 13, 14)}
