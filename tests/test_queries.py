@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from codelake.plans.registered import TABLES
@@ -35,5 +36,16 @@ def test_rows(spark, db, name):
         names, result.fetchall())
 
 
+def test_rewritten_buckets_lose_one_project(spark, tmp_path):
+    """Parts 60 to 89 are the files of proj-2, of which 60 and 75 are edited as well."""
+    part = spark.range(1, 121).select(
+        F.col("id").alias("p_partkey"), F.lit("part").alias("p_name"), F.lit("b").alias("p_brand"),
+        F.lit("t").alias("p_type"), F.lit(3).alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    kept = {int(r.file_path.split("/m")[1].split(".")[0]) for r in QUERIES["i6_rewrite_buckets"](
+        spark, str(tmp_path)).where("name = 'added' or kind = 'class'").collect()}
+    assert kept == set(range(1, 121)) - set(range(60, 90))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
