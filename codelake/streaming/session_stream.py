@@ -9,10 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from codelake.operators.sessions import merge_rollups, session_rollup
 
 
-def _timed(source: DataFrame, time: str, delay: str, identity: list[str]) -> DataFrame:
-    """source with its time as _t and without repeats; ids are remembered no longer than the delay."""
-    return (source.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", delay)
-            .dropDuplicatesWithinWatermark(identity))
+def _timed(source: DataFrame, time: str, delay: str, identity: list[str], later: int = 0) -> DataFrame:
+    """source with its time, `later` days on, as _t and without repeats; ids are remembered no longer than the delay."""
+    at = F.col(time).cast("timestamp") + F.make_dt_interval(F.lit(later))
+    return source.withColumn("_t", at).withWatermark("_t", delay).dropDuplicatesWithinWatermark(identity)
+
+
+#: Spark's first watermark is the start of 1970, and what is not after it counts as late: 400 years.
+_AFTER_1970 = 146_097
 
 
 def counters(query: StreamingQuery) -> dict[str, int | list[int]]:
@@ -38,7 +42,8 @@ def stream_session_rollup(source: DataFrame, target: str, checkpoint: str, ident
         (part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(target))
 
-    rows = source.dropDuplicates(identity) if time is None else _timed(source, time, delay, identity).drop("_t")
+    rows = source.dropDuplicates(identity) if time is None else _timed(
+        source, time, delay, identity, _AFTER_1970).drop("_t")
     query = (rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
