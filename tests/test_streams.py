@@ -187,3 +187,24 @@ def test_newest_of_a_group_is_told_without_building_frames(monkeypatch):
         state = State(known)
         got = [v for f in index_stream._newest(("p", "f"), iter(frames), state) for v in f["content"]]
         assert (got, state.new) == (want, new)
+
+
+def test_files_of_a_bucket_are_told_apart_in_few_groups(spark, tmp_path):
+    """A bucket of many files gives what a group for each file gives; its state is one entry."""
+    schema = "project_id string, file_path string, content string, arrival int"
+    keys = [("p", "a.py"), (None, "a.py"), ("pa", ".py"), *[("p", f"m{i}.py") for i in range(60)]]
+    drops = [[(*k, f"{i % 7}{v}", v) for i, k in enumerate(keys) for v in range(i % 3 + 1)],
+             [(*k, None if i % 4 == 0 else "late" if i % 4 == 1 else f"{i % 7}0", 0 if i % 4 == 1 else 2 + i % 2)
+              for i, k in enumerate(keys)],
+             [(*k, "back", 2 + i % 5) for i, k in enumerate(keys)]]
+    seen, entries = {}, {}
+    for buckets in (None, 3):
+        got, at = [], tmp_path / str(buckets)
+        for drop in drops:
+            spark.createDataFrame(drop, schema).write.mode("append").parquet(str(at / "in"))
+            changed = index_stream.changed_files(spark.readStream.schema(schema).parquet(str(at / "in")), "arrival", buckets)
+            query = (changed.writeStream.outputMode("update").option("checkpointLocation", str(at / "ck")).trigger(availableNow=True)
+                     .foreachBatch(lambda rows, _, got=got: got.append(sorted(map(str, rows.collect())))).start())
+            query.awaitTermination()
+        seen[buckets], entries[buckets] = got, query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert seen[3] == seen[None] and all(seen[3]) and entries == {None: len(keys), 3: 3}
