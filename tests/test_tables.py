@@ -230,8 +230,8 @@ def test_ids_are_stored_as_they_are_in_half_the_bytes(spark, tmp_path):
     from codelake.sources.buckets import BucketTable
 
     hexes = F.sha2(F.col("id").cast("string"), 256)
-    odd = F.element_at(F.array(F.lit(None).cast("string"), F.lit(""), F.upper(hexes), F.concat(hexes, F.lit("\n")), F.lit("ab"), F.lit("ü" * 64)),
-                       (F.col("id") % 6 + 1).cast("int"))
+    odd = F.element_at(F.array(F.lit(None).cast("string"), F.lit(""), F.upper(hexes), F.concat(hexes, F.lit("\n")), F.lit("ab"), F.lit("ü" * 64),
+                                 F.lit("g" * 64), F.lit("é" * 32)), (F.col("id") % 8 + 1).cast("int"))
     rows = spark.range(20_000).select(F.lit("p").alias("project_id"), F.concat(F.lit("f"), F.col("id") % 7).alias("file_path"),
                                       hexes.alias("row_id"), F.when(F.col("id") % 2 == 0, hexes).otherwise(odd).alias("other_id"))
     table = BucketTable(spark, str(tmp_path / "t"), rows.schema)
